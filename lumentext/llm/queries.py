@@ -12,6 +12,7 @@ _MODULES = {
     "rankagg": ["p5_found", "p5_ranks"],
     "tokens": ["p8_ids"],
     "leakage": ["p9_found", "p9_leaks"],
+    "neardup": ["p4_found"],
     "spans": ["p10_found", "p10_shared"],
 }
 
