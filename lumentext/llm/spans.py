@@ -25,9 +25,31 @@ ROWS, BLOCK = 3, 1 << 16
 BASE = 0x5851F42D4C957F2D
 
 
-def _chars(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    n = np.array([len(t) for t in texts], np.int64)
-    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), n
+#: Characters that are held as arrays at a time.
+HELD = 1 << 20
+
+
+def _pieces(texts: list[str], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(characters, length of each piece, its row, its offset) in turns of about HELD characters.
+
+    Longer texts are cut into pieces that overlap by size - 1 characters, so that each window lies in exactly one.
+    """
+    held, rows, offs, total = [], [], [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - size + 1), HELD):
+            held.append(t[at : at + HELD + size - 1])
+            rows.append(i)
+            offs.append(at)
+            total += len(held[-1])
+            if total >= HELD:
+                yield _arrays(held), np.array([len(p) for p in held]), np.array(rows), np.array(offs)
+                held, rows, offs, total = [], [], [], 0
+    if held:
+        yield _arrays(held), np.array([len(p) for p in held]), np.array(rows), np.array(offs)
+
+
+def _arrays(held: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
 def window_hashes(chars: np.ndarray, size: int) -> np.ndarray:
@@ -64,8 +86,7 @@ def repeated_bits(reps: DataFrame, size: int, bits: int) -> list[bytes]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros((ROWS, 1 << bits), np.uint8)
-        for b in batches:
-            chars, n = _chars(b.column(1).to_pylist())
+        for chars, n, _, _ in (p for b in batches for p in _pieces(b.column(1).to_pylist(), size)):
             at, owner = starts_inside(n, size)
             a, o = anchors(chars, size)[at], owner[at]
             new = np.ones(len(a), bool)
@@ -98,8 +119,7 @@ def repeated_windows(reps: DataFrame, size: int, bits: int) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.frombuffer(r, np.uint8) for r in kept.value]
-        for b in batches:
-            chars, n = _chars(b.column(1).to_pylist())
+        for b, (chars, n, row, off) in ((b, p) for b in batches for p in _pieces(b.column(1).to_pylist(), size)):
             at, owner = starts_inside(n, size)
             a = anchors(chars, size)[at]
             first = np.ones(len(a), bool)
@@ -109,9 +129,9 @@ def repeated_windows(reps: DataFrame, size: int, bits: int) -> DataFrame:
                 ok &= (row[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
             at = at[ok[np.cumsum(first) - 1]] if len(a) else at
             h, o = window_hashes(chars, size), owner[at]
-            pos = at - (np.cumsum(n) - n)[o] if len(at) else at
+            pos = at - (np.cumsum(n) - n)[o] + off[o]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[at].astype(np.int64) if len(at) else np.zeros(0, np.int64)), b.column(0).take(pa.array(o)), pa.array(pos.astype(np.int32))], names=["h", "rep", "pos"]
+                [pa.array(h[at].astype(np.int64) if len(at) else np.zeros(0, np.int64)), b.column(0).take(pa.array(row[o])), pa.array(pos.astype(np.int32))], names=["h", "rep", "pos"]
             )
 
     return reps.select("rep", "text").mapInArrow(go, "h long, rep long, pos int")
