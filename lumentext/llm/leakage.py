@@ -20,7 +20,7 @@ from ..session import table
 from .shingles import WORD, WordHashes, runs_hash, sliding_min, starts_inside
 
 
-def domain_minhashes(df: DataFrame, key: str, text: str, run: int = 13, k: int = 5) -> DataFrame:
+def domain_minhashes(df: DataFrame, key: str, text: str, run: int = 13, k: int = 9) -> DataFrame:
     """(key, h): the distinct MinHashes of all windows of ``run`` words of each text; shorter texts have none."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
