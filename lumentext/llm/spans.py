@@ -119,7 +119,7 @@ def repeated_windows(reps: DataFrame, size: int, bits: int) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.frombuffer(r, np.uint8) for r in kept.value]
-        for b, (chars, n, row, off) in ((b, p) for b in batches for p in _pieces(b.column(1).to_pylist(), size)):
+        for b, (chars, n, src, off) in ((b, p) for b in batches for p in _pieces(b.column(1).to_pylist(), size)):
             at, owner = starts_inside(n, size)
             a = anchors(chars, size)[at]
             first = np.ones(len(a), bool)
@@ -131,7 +131,7 @@ def repeated_windows(reps: DataFrame, size: int, bits: int) -> DataFrame:
             h, o = window_hashes(chars, size), owner[at]
             pos = at - (np.cumsum(n) - n)[o] + off[o]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[at].astype(np.int64) if len(at) else np.zeros(0, np.int64)), b.column(0).take(pa.array(row[o])), pa.array(pos.astype(np.int32))], names=["h", "rep", "pos"]
+                [pa.array(h[at].astype(np.int64) if len(at) else np.zeros(0, np.int64)), b.column(0).take(pa.array(src[o])), pa.array(pos.astype(np.int32))], names=["h", "rep", "pos"]
             )
 
     return reps.select("rep", "text").mapInArrow(go, "h long, rep long, pos int")
