@@ -13,6 +13,7 @@ _MODULES = {
     "tokens": ["p8_ids"],
     "leakage": ["p9_found", "p9_leaks"],
     "neardup": ["p4_found"],
+    "neighbours": ["p6_found"],
     "spans": ["p10_found", "p10_shared"],
 }
 
