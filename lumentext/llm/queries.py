@@ -14,6 +14,7 @@ _MODULES = {
     "leakage": ["p9_found", "p9_leaks"],
     "neardup": ["p4_found"],
     "neighbours": ["p6_found"],
+    "sentences": ["p7_found"],
     "spans": ["p10_found", "p10_shared"],
 }
 
