@@ -15,6 +15,7 @@ _MODULES = {
     "neardup": ["p4_found"],
     "neighbours": ["p6_found"],
     "sentences": ["p7_found"],
+    "boilerplate": ["p2_found"],
     "spans": ["p10_found", "p10_shared"],
 }
 
