@@ -16,6 +16,7 @@ _MODULES = {
     "neighbours": ["p6_found"],
     "sentences": ["p7_found"],
     "boilerplate": ["p2_found"],
+    "names": ["p1_found", "p1_entities"],
     "spans": ["p10_found", "p10_shared"],
 }
 
