@@ -32,10 +32,15 @@ def any_of(c: Column, parts: list[str], how: str = "contains") -> Column:
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return sub(c, r"(?U)^\s+|\s+$")
+
+
 def strip(c: Column, chars: str | None = None) -> Column:
     """Without white space of any kind, or without the given characters, at both ends."""
     if chars is None:
-        return sub(c, r"(?U)^\s+|\s+$")
+        return trimmed(c)
     return F.btrim(c, F.lit(chars))
 
 
@@ -90,7 +95,7 @@ def keep_lines(c: Column, keep, strip_lines: bool = False) -> Column:
     """The lines of which keep(stripped line) is true; blank lines stay, as empty lines where lines are stripped."""
     lines = F.split(c, "\n")
     if strip_lines:
-        lines = F.transform(lines, strip)
+        lines = F.transform(lines, trimmed)
     return F.array_join(F.filter(lines, lambda x: (strip(x) == "") | keep(strip(x))), "\n")
 
 
@@ -121,7 +126,7 @@ def join_broken_lines(c: Column) -> Column:
         joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, F.lit(" "), x)))
         return F.when(F.size(acc) == 0, F.array(x)).when(alone, F.concat(acc, F.array(x))).otherwise(joined)
 
-    return F.array_join(F.aggregate(F.transform(F.split(c, "\n"), strip), F.array().cast("array<string>"), step), "\n")
+    return F.array_join(F.aggregate(F.transform(F.split(c, "\n"), trimmed), F.array().cast("array<string>"), step), "\n")
 
 
 def replace_all(c: Column, pairs: dict[str, str]) -> Column:
@@ -181,7 +186,7 @@ def clean_for_chunks(c: Column) -> Column:
 
 def split_sentences(c: Column, least: int = 30) -> Column:
     """Split after . ! ? before white space; trimmed, and only those longer than ``least`` characters."""
-    return F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+"), strip), lambda s: F.length(s) > least)
+    return F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+"), trimmed), lambda s: F.length(s) > least)
 
 
 def tokens_a(c: Column) -> Column:
