@@ -26,7 +26,7 @@ def answer_metrics(pairs: DataFrame, key: str, predicted: str, truth: str) -> Da
     p, t = (T.words(T.normalize_answer(F.coalesce(F.col(c), F.lit("")))) for c in (predicted, truth))
     times = lambda a, w: F.size(F.filter(a, lambda y: y == w))
     common = T.let(p, lambda a: T.let(t, lambda b: F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, w: s + F.least(times(a, w), times(b, w)))))
-    x = pairs.select(key, p.alias("p"), t.alias("t"), common.alias("same"))
-    precision, recall = F.col("same") / F.greatest(F.size("p"), F.lit(1)), F.col("same") / F.greatest(F.size("t"), F.lit(1))
+    x = pairs.select(key, p.alias("_p"), t.alias("_t"), common.alias("same"))
+    precision, recall = F.col("same") / F.greatest(F.size("_p"), F.lit(1)), F.col("same") / F.greatest(F.size("_t"), F.lit(1))
     f1 = F.when(F.col("same") == 0, F.lit(0.0)).otherwise(F.try_divide(2 * precision * recall, precision + recall))
-    return x.select(key, (F.array_join("p", " ") == F.array_join("t", " ")).cast("int").alias("em"), f1.alias("f1"))
+    return x.select(key, (F.array_join("_p", " ") == F.array_join("_t", " ")).cast("int").alias("em"), f1.alias("f1"))

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 from .stats import document_frequency, term_counts, tfidf_weights, with_totals
@@ -71,6 +72,7 @@ def dense_scores(vectors: DataFrame, key: str, vec: str, queries: DataFrame, qke
     q = queries.filter(ok(qvec)).select(F.col(qkey).alias("qid"), F.col(qvec).cast("array<double>").alias("qv"))
     v = vectors.filter(ok(vec)).select(F.col(key).alias("vid"), F.col(vec).cast("array<double>").alias("vv"))
     schema = f"{qkey} {dict(queries.dtypes)[qkey]}, {key} {dict(vectors.dtypes)[key]}, score double"
+    kind = to_arrow_type(queries.schema[qkey].dataType)
     turns = -(-q.count() // block)
     out = vectors.sparkSession.createDataFrame([], schema)
     for i in range(turns):
@@ -79,7 +81,7 @@ def dense_scores(vectors: DataFrame, key: str, vec: str, queries: DataFrame, qke
         for dim in {len(r.qv) for r in rows}:
             same = [r for r in rows if len(r.qv) == dim]
             m = np.array([r.qv for r in same])
-            held.append((pa.array([r.qid for r in same]), m / np.linalg.norm(m, axis=1, keepdims=True)))
+            held.append((pa.array([r.qid for r in same], kind), m / np.linalg.norm(m, axis=1, keepdims=True)))
         kept = vectors.sparkSession.sparkContext.broadcast(held)
 
         def go(it: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
