@@ -268,7 +268,10 @@ def link_names(names: DataFrame) -> DataFrame:
     NULL scopes, NULL and blank names, and words that name nobody are left out; repeated rows count once; no rows give no rows. Two
     proper parts that are alike but each borne by several names of the scope are different: a slip is seldom made twice.
     """
-    names = materialize(names.select("scope", "name").filter(F.col("scope").isNotNull() & ~is_blank(F.col("name"))).distinct(), "names")
+    spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = names.select("scope", "name").filter(F.col("scope").isNotNull() & ~is_blank(F.col("name")))
+    # reading a name takes long for its bytes, so the names are spread over a given number of tasks, not by size
+    names = materialize(names.distinct().repartition(spread, "scope", "name"), "names")
     read = read_names(names, common_words(names)).withColumn("node", F.xxhash64("scope", "kind", F.array_sort("quals"), "core"))
     read = materialize(read, "read")
     codes = F.udf(halves, "array<string>")
