@@ -1,0 +1,174 @@
+"""Operators on text and names, on invented cases."""
+
+import pytest
+
+pytest.importorskip("lumentext.llm")
+from lumentext.llm import boilerplate, names, sentences  # noqa: E402
+from lumentext.llm.queries import oracle_sql, queries  # noqa: E402
+
+
+def rows(df, *cols):
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
+# 1: names
+
+GIVEN = {"teresa", "robert", "alexandra", "alexandre", "femanda", "hugo", "ines"}
+
+
+@pytest.mark.parametrize(
+    "name, want",
+    [
+        ("Teresa Limavel", ("P", ["teresa"], "limavel")),
+        ("LIMAVEL, TERESA", ("P", ["teresa"], "limavel")),
+        ("Limavel Teté", ("P", ["teresa"], "limavel")),
+        ("Dr. Teresa M. Limavel.", ("P", ["teresa"], "limavel")),
+        ("Tersea Limavel", ("P", ["teresa"], "limavel")),
+        ("T. Limavel", ("I", ["t"], "limavel")),
+        ("Ter. Limavel", ("I", ["ter"], "limavel")),
+        ("Limavel", ("S", [], "limavel")),
+        ("Capitão Limavel", ("S", [], "limavel")),
+        ("teresa", ("G", ["teresa"], "")),
+        ("Nanda Cormel", ("P", ["femanda"], "cormel")),
+        ("Rob Kuvel", ("P", ["robert"], "kuvel")),
+        ("Agência Espacial de Kuvel", ("O", ["agency space"], "kuvel")),
+        ("Kuvel Space Agncy", ("O", ["agency space"], "kuvel")),
+        ("the Kuvel Launch Systems Ltd", ("O", ["launch systems"], "kuvel")),
+        ("Launch Sys. (Kuvel)", ("O", ["launch systems"], "kuvel")),
+        ("Inst. for Orbital Research, Kuvel", ("O", ["institute orbital research"], "kuvel")),
+        ("Kuvel ORI", ("O", ["institute orbital research"], "kuvel")),
+        ("K.O.R.I.", ("A", [], "kori")),
+        ("Kuvel 7", ("M", ["7"], "kuvel")),
+        ("Mission Kuvel VII", ("M", ["7"], "kuvel")),
+        ("Kuvel‑7", ("M", ["7"], "kuvel")),
+        ("Kuvel No. 7", ("M", ["7"], "kuvel")),
+        ("Kuvel7", ("M", ["7"], "kuvel")),
+        ("Sr.", None),
+        ("Professora", None),
+        ("1969", None),
+        ("14 March 2008", None),
+        ("", None),
+        ("• Kuvel", None),
+    ],
+)
+def test_read_name(name, want):
+    got = names.read_name(name, names.Givens(GIVEN))
+    assert (got and got[:3]) == want
+
+
+def test_link_names(spark):
+    a = ["Teresa Limavel", "T. Limavel", "Limavel", "Teté Limavel", "Limavel, Teresa", "Teresa Limavle", "Professora", "Robert Limavek", "Hugo Kuvel", "Inês Kuvel", "Kuvel", "I. Kuvel", "Zafen 7", "Zafen VII", "Zafen 8", "Hugo"]
+    b = ["Teresa Limavel", "Alexandra Tomavel", "Alexandre Tomavel", "A. Tomavel", "Kuvel Launch Systems Ltd", "KLS", "Launch Systems (Kuvel)"]
+    extra = [("x", g.capitalize() + " Xy" + "abcdefgh"[i] * 4) for g in ("teresa", "hugo", "ines", "robert", "alexandra", "alexandre") for i in range(1)]
+    data = [("a", n) for n in a] + [("b", n) for n in b] + [("a", None), (None, "Teresa Limavel"), ("a", " "), ("a", "Limavel")] + extra + [(s, n.split()[0] + " Pq" + s * 4) for s in "cde" for _, n in extra]
+    df = spark.createDataFrame([(*r, 1) for r in data], "scope string, name string, node int")
+    groups = {}
+    for r in names.link_names(df).collect():
+        groups.setdefault((r.scope, r.entity), set()).add(r.name)
+    got = {(s, frozenset(g)) for (s, _), g in groups.items() if len(g) > 1}
+    assert got == {
+        ("a", frozenset(["Teresa Limavel", "T. Limavel", "Limavel", "Teté Limavel", "Limavel, Teresa", "Teresa Limavle"])),
+        ("a", frozenset(["Inês Kuvel", "I. Kuvel"])),
+        ("a", frozenset(["Hugo Kuvel", "Hugo"])),
+        ("a", frozenset(["Zafen 7", "Zafen VII"])),
+        ("b", frozenset(["Kuvel Launch Systems Ltd", "KLS", "Launch Systems (Kuvel)"])),
+    }
+    assert names.link_names(df.limit(0)).count() == 0
+
+
+def test_measures():
+    assert names.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
+    assert names.jaro_winkler("abc", "xyz") == 0 and names.edits("abcd", "abdc", 2) == 1 and names.edits("abcd", "wxyz", 2) == 3
+    for w in ("limavel", "zunubonto"):
+        for i in range(len(w)):
+            for v in (w[:i] + w[i + 1 :], w[:i] + "k" + w[i:], w[:i] + "o" + w[i + 1 :]):
+                assert set(names.halves(w)) & set(names.halves(v)), (w, v)
+
+
+# 2: boilerplate
+
+
+def test_template_lines(spark):
+    para = "In the long year of {0} the quiet band of Pelimur{0} wrote many songs about the river and the slow garden by the sea, they said."
+    pages, want = [], set()
+    for i in range(24):
+        lines = ["Home | News | Shop | Login" if i % 2 else "News | Login | Home | Shop", "", para.format(i), "Early years", para.format(i + 50), "Sponsored: a lamp", f"Guests » Ana Limavel{i}, Rui Kuvel{i}", para.format(i + 90), "Sponsored: a boat", f"© {1990 + i} Kuvelin. All rights reserved."]
+        pages.append((i, "kuvelin.example", "\n".join(lines)))
+        want |= {(i, n) for n in (0, 5, 8, 9)}
+    pages += [(100, "kuvelin.example", None), (101, "kuvelin.example", ""), (102, "other.example", "Just a line."), (103, None, para.format(7))]
+    df = spark.createDataFrame([(*p, 3) for p in pages], "page long, host string, text string, no int").fillna({"host": ""})
+    assert set(rows(boilerplate.template_lines(df), "page", "no")) == want
+    assert boilerplate.template_lines(df.limit(0)).count() == 0
+
+
+# 7: sentences
+
+
+@pytest.fixture(scope="module")
+def model():
+    from collections import Counter
+
+    n = Counter()
+    texts = ["The ship left the port in May 1963. Dr. Alves met Mrs. Reis at No. 7. It was late. They went home.", "He slept. Prof. Lima of the U.S. team read vol. 3 aloud. Nobody spoke.", "Am 18. Mai ging Hr. Kuhn nach Rom. Es war kalt. Er blieb."] * 20
+    sentences.count_events(texts, True, n)
+    return sentences.Model(dict(n))
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("He met Dr. Alves. They spoke of No. 7 at 9.30 a.m. near the port. Good!", ["He met Dr. Alves.", "They spoke of No. 7 at 9.30 a.m. near the port.", "Good!"]),
+        ('"Stop it. Go home," said Mrs. Reis. He left.', ['"Stop it. Go home," said Mrs. Reis.', "He left."]),
+        ('They called it "a slow river." Nobody spoke.', ['They called it "a slow river."', "Nobody spoke."]),
+        ("— Não abras! — gritou Rui. Ele saiu.", ["— Não abras! — gritou Rui.", "Ele saiu."]),
+        ("¿Quién fue? ¡Nadie! «No. Nunca», dijo Ana.", ["¿Quién fue?", "¡Nadie!", "«No. Nunca», dijo Ana."]),
+        ("Am 18. November kam er. Es war kalt.", ["Am 18. November kam er.", "Es war kalt."]),
+        ("为什么？因为3.5公里。“等等。别走。”他说。走了！", ["为什么？", "因为3.5公里。", "“等等。别走。”他说。", "走了！"]),
+        ("「待て。早い。」と彼は言った。行った。", ["「待て。早い。」と彼は言った。", "行った。"]),
+        ("वह गया। क्यों? पता नहीं।", ["वह गया।", "क्यों?", "पता नहीं।"]),
+        ("هل ذهب؟ نعم ذهب.", ["هل ذهب؟", "نعم ذهب."]),
+        ("เขาไปแล้ว เธออยู่ที่3.5กม", ["เขาไปแล้ว", "เธออยู่ที่3.5กม"]),
+        ("1. First song (3:10)", ["1. First song (3:10)"]),
+        ("The crew of Samuel A. Lima left in 1978. Clemente stayed.", ["The crew of Samuel A. Lima left in 1978.", "Clemente stayed."]),
+        ("    ", []),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_sentences(model, text, want):
+    assert [text[a:b] for a, b in sentences.sentences(text, False, model)] == want
+
+
+def test_units_and_positions(spark, model):
+    text = " Menu | Home \n\nHe came. He left. \n1. Song\n"
+    df = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "", 0), (4, "a\nb.", 0)], "id long, text string, start_pos int")
+    got = [(r.id, text[r.start_pos : r.end_pos]) for r in sentences.split_sentences(df, True, model).filter("id = 1").collect()]
+    assert [x for _, x in got] == ["Menu | Home", "He came.", "He left.", "1. Song"]
+    assert rows(sentences.split_sentences(df, False, model).filter("id = 4"), "start_pos", "end_pos") == [(0, 4)]
+    assert sentences.split_sentences(df.limit(0), True, model).count() == 0
+    assert sentences.train([(df.select("text"), True)]).n
+
+
+# queries
+
+
+@pytest.mark.parametrize("name", [n for n in queries() if n not in oracle_sql()])
+def test_runs(spark, data, name):
+    df = queries()[name](spark, data)
+    assert df.count() == df.distinct().count() > 0
+
+
+@pytest.mark.parametrize("name", list(oracle_sql()))
+def test_same_as_sql(spark, data, name):
+    import glob
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for p in glob.glob(f"{data}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    df = queries()[name](spark, data).toPandas()
+    want = con.execute(oracle_sql()[name]).df()
+    level = lambda x: sorted(repr(tuple(round(float(v), 5) if isinstance(v, float) else v for v in r)) for r in x[sorted(x.columns)].astype(object).itertuples(index=False, name=None))
+    assert level(df) == level(want)
