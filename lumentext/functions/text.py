@@ -13,6 +13,10 @@ from . import values as V
 PUNCTUATION = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").replace("'", "'")
 
 
+#: White space of any kind as one character class; quicker than the flag that makes \\s mean the same.
+WS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def sub(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(by))
 
@@ -34,7 +38,7 @@ def any_of(c: Column, parts: list[str], how: str = "contains") -> Column:
 
 def trimmed(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return sub(c, r"(?U)^\s+|\s+$")
+    return sub(c, f"^{WS}+|{WS}+$")
 
 
 def strip(c: Column, chars: str | None = None) -> Column:
@@ -46,7 +50,7 @@ def strip(c: Column, chars: str | None = None) -> Column:
 
 def norm_spaces(c: Column) -> Column:
     """White space runs, no-break spaces included, made one blank; trimmed."""
-    return strip(sub(c, r"(?U)\s+", " "))
+    return F.trim(sub(c, f"{WS}+", " "))
 
 
 def words(c: Column) -> Column:
@@ -177,7 +181,7 @@ def clean_for_chunks(c: Column) -> Column:
     c = F.replace(c, F.lit("\n"), F.lit(" "))
     c = sub(c, r"(?i)While every effort has been made to follow citation style rules.*?if you have any questions\.", " ")
     c = sub(c, r"(?i)(What|How|Why|When|Where|Who)[^?]{10,160}\?", " ")
-    c = sub(sub(c, r"\[\d+\]"), r"(?U)\s+", " ")
+    c = sub(sub(c, r"\[\d+\]"), f"{WS}+", " ")
     return strip(sub(c, r"^[,\s;:.-]+"))
 
 
@@ -186,7 +190,7 @@ def clean_for_chunks(c: Column) -> Column:
 
 def split_sentences(c: Column, least: int = 30) -> Column:
     """Split after . ! ? before white space; trimmed, and only those longer than ``least`` characters."""
-    return F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+"), trimmed), lambda s: F.length(s) > least)
+    return F.filter(F.transform(F.split(c, f"(?<=[.!?]){WS}+"), trimmed), lambda s: F.length(s) > least)
 
 
 def tokens_a(c: Column) -> Column:

@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def _runs(w, n: int):
-    return F.transform(T.ngrams(w, n), lambda g, i: F.struct((i + 1).alias("at"), F.lit(n).alias("n"), F.array_join(g, " ").alias("phrase")))
-
-
 def mentions(sents: DataFrame, keys: list[str], text: str, gazetteer: DataFrame, most: int = 3) -> DataFrame:
     """(keys..., name) of the phrases of (phrase, name) in each sentence, the longest first: a shorter one within a longer is none.
 
-    All runs of up to ``most`` words meet the phrases in an equi-join; Spark broadcasts the gazetteer where it is small.
+    Each word meets the phrases that begin with it, an equi-join; the few that do are compared with the words that follow. Spark broadcasts the
+    gazetteer where it is small.
     """
-    w = F.filter(F.split(F.col(text), r"(?U)[^\w'\-]+"), lambda x: x != "")
-    rows = sents.select(*keys, w.alias("_w"))
-    grams = F.concat(*(_runs(F.col("_w"), n) for n in range(1, most + 1)))
-    hits = rows.select(*keys, F.explode(grams).alias("g")).select(*keys, "g.at", "g.n", "g.phrase").join(gazetteer.select("phrase", "name"), "phrase")
+    w = F.filter(F.split(F.col(text), r"[^\p{L}\p{M}\p{N}_'\-]+"), lambda x: x != "")
+    p = F.split("phrase", " ")
+    phrases = gazetteer.select(F.get(p, F.lit(0)).alias("word"), p.alias("_p"), F.size(p).alias("n"), "phrase", "name").filter(F.col("n") <= most)
+    words = sents.select(*keys, F.posexplode(w).alias("at", "word"))
+    begun = words.join(phrases, "word").select(*keys, (F.col("at") + 1).alias("at"), "n", "phrase", "name")
+    rest = begun.filter("n > 1").join(sents.select(*keys, w.alias("_w")), keys).filter(F.array_join(F.slice("_w", F.col("at"), F.col("n")), " ") == F.col("phrase"))
+    hits = begun.filter("n = 1").unionByName(rest.drop("_w"))
     spans = F.collect_list(F.struct("at", "n", "name"))
     by = hits.groupBy(*keys).agg(spans.alias("s"))
     inside = lambda x, y: (y["at"] <= x["at"]) & (y["at"] + y["n"] >= x["at"] + x["n"]) & (y["n"] > x["n"])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
+from ..session import materialize
 from .stats import document_frequency, term_counts, tfidf_weights, with_totals
 
 
@@ -42,7 +43,8 @@ def bm25_terms(docs: DataFrame, key: str, text: str, k1: float = 1.5, b: float =
 
     idf = ln(N - df + 0.5) - ln(df + 0.5); negative ones become epsilon times the mean idf of all terms.
     """
-    counts = term_counts(docs, key, tokens(F.col(text)))
+    # read four times below, each time with other columns, so an exchange could not be shared
+    counts = materialize(term_counts(docs, key, tokens(F.col(text))), "terms")
     lens = counts.groupBy(key).agg(F.first("len").alias("len"))
     totals = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     length = lens.agg(F.sum("len").alias("all_len"))

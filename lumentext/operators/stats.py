@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -13,7 +14,9 @@ def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
 
     The length comes with the tokens, so one shuffle does.
     """
-    rows = docs.select(key, tokens.alias("_t")).select(key, F.size("_t").alias("len"), F.explode("_t").alias("term"))
+    # the size is taken from the array that is exploded, in one struct, so that the tokens are made once
+    one = T.let(tokens, lambda t: F.struct(F.size(t).alias("len"), t.alias("terms")))
+    rows = docs.select(key, F.inline(F.array(one))).select(key, "len", F.explode("terms").alias("term"))
     return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"), F.first("len").alias("len"))
 
 
@@ -39,7 +42,7 @@ def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
 
 def tfidf_weights(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(key, term, tf, idf, w): tf = count / tokens of the document. N counts all documents, those without tokens too."""
-    counts = term_counts(docs, key, tokens)
+    counts = materialize(term_counts(docs, key, tokens), "terms")
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     terms = with_totals(document_frequency(counts), n).withColumn("idf", F.log10(F.col("n_docs") / F.col("df")))
     return counts.join(terms, "term").select(key, "term", (F.col("n") / F.col("len")).alias("tf"), "idf", (F.col("n") / F.col("len") * F.col("idf")).alias("w"))
@@ -65,6 +68,7 @@ def sentence_lm(sents: DataFrame, key: str, tokens: Column, by: str, bigram_shar
     """
     toks = sents.select(by, key, tokens.alias("_t"))
     parts = []
+    toks = materialize(toks, "tokens")
     counts = {n: ngram_counts(toks, F.col("_t"), n, [by]) for n in (2, 3)}
     vocab = context_counts(counts[2], 2, [by]).groupBy(by).agg(F.count(F.lit(1)).alias("v"))
     for n in (2, 3):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import audit, embed, evaluate, graph, ner, pages, qa, retrieve, stats
-from ..session import table
+from ..session import spread, table
 from ..sources import sinks
 
 #: Queries of the flagship ranking; the last has no known word.
@@ -27,7 +27,7 @@ def _literal(spark: SparkSession) -> DataFrame:
 
 
 def _docs(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "domain")
+    return spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "domain"))
 
 
 def tfidf_idf(spark, d):
@@ -51,7 +51,7 @@ def _questions(spark, d) -> DataFrame:
 
 
 def _bm25(spark, d) -> DataFrame:
-    index = retrieve.bm25_terms(table(spark, d, "chunks"), "chunk_id", "text")
+    index = retrieve.bm25_terms(spread(table(spark, d, "chunks").select("chunk_id", "text")), "chunk_id", "text")
     return retrieve.bm25_scores(index, "chunk_id", _questions(spark, d), "question_id", "question")
 
 
@@ -101,7 +101,7 @@ def doc_centroid(spark, d):
 
 
 def chunk_documents(spark, d):
-    c = table(spark, d, "corpus").filter("text is not null").select("crawl_id", F.posexplode(T.chunk_words(F.col("text"))).alias("chunk_index", "text"))
+    c = spread(table(spark, d, "corpus").select("crawl_id", "text").filter("text is not null")).select("crawl_id", F.posexplode(T.chunk_words(F.col("text"))).alias("chunk_index", "text"))
     return c.select("crawl_id", "chunk_index", F.format_string("%d_chunk_%04d", "crawl_id", "chunk_index").alias("chunk_id"), "text", T.n_words(F.col("text")).alias("word_count"))
 
 
@@ -114,11 +114,11 @@ def clean_citations(spark, d):
 
 
 def clean_documents(spark, d):
-    return table(spark, d, "corpus").filter("text is not null").select("crawl_id", T.clean_document(F.col("text")).alias("text"))
+    return spread(table(spark, d, "corpus").select("crawl_id", "text").filter("text is not null")).select("crawl_id", T.clean_document(F.col("text")).alias("text"))
 
 
 def clean_for_chunks(spark, d):
-    return table(spark, d, "corpus").filter("text is not null").select("crawl_id", T.clean_for_chunks(F.col("text")).alias("text"))
+    return spread(table(spark, d, "corpus").select("crawl_id", "text").filter("text is not null")).select("crawl_id", T.clean_for_chunks(F.col("text")).alias("text"))
 
 
 def slugs(spark, d):
@@ -138,7 +138,7 @@ def link_scores(spark, d):
 
 
 def sentences(spark, d):
-    return table(spark, d, "corpus").filter("text is not null").select("crawl_id", F.posexplode(T.split_sentences(F.col("text"))).alias("sent_no", "sentence"))
+    return spread(table(spark, d, "corpus").select("crawl_id", "text").filter("text is not null")).select("crawl_id", F.posexplode(T.split_sentences(F.col("text"))).alias("sent_no", "sentence"))
 
 
 def valid_sentences(spark, d):
@@ -180,7 +180,7 @@ def diverse_top3(spark, d):
 
 
 def _mentions(spark, d) -> DataFrame:
-    s = table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("sent_no", "sentence"))
+    s = spread(table(spark, d, "documents").select("doc_id", "text").filter("text is not null")).select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("sent_no", "sentence"))
     gaz = spark.createDataFrame([(k, k) for k in GAZETTEER], "phrase string, name string")
     m = graph.mentions(s, ["doc_id", "sent_no"], "sentence", gaz)
     aliases = spark.createDataFrame(list(GAZETTEER.items()), "name string, alias_of string")

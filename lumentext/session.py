@@ -58,6 +58,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, such as one small file, dealt out to all of them; any other as it is.
+
+    For work that takes long for its bytes. Only for scans: it asks for the number of splits, which runs nothing for them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def skew_join(rows: DataFrame, keyed: DataFrame, key: str, counts: DataFrame, hot: int = 200_000, salts: int = 32, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``keyed`` (one row a key) where a key may hold a large part of ``rows``.
 
