@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, table
+from ..session import materialize, spread, table
 
 PARTS = regex.compile(r"\s*(?:[>»|·/•→]+|\s{2,})\s*")
 SENTENCE_END = regex.compile(r"(?<!(?<!\d)\d{1,2}\.)(?<=[.!?…][\"”»“]?)\s+(?=\S)")
@@ -146,7 +146,7 @@ def p2_found(spark, d: str) -> DataFrame:
     pages = None
     for i, (t, key, text) in enumerate(FIELDS.values()):
         df = table(spark, d, t).select((F.col(key) * len(FIELDS) + i).alias("page"), host.alias("host"), F.col(text).alias("text")).filter("text is not null")
-        pages = df if pages is None else pages.unionByName(df)
+        pages = spread(df) if pages is None else pages.unionByName(spread(df))
     out = template_lines(pages)
     field = F.element_at(F.array(*map(F.lit, FIELDS)), (F.pmod("page", F.lit(len(FIELDS))) + 1).cast("int"))
     return out.select(field.alias("field"), F.floor(F.col("page") / len(FIELDS)).cast("long").alias("rec_id"), F.col("no").alias("line_no"))

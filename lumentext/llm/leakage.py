@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from .shingles import WORD, WordHashes, runs_hash, sliding_min, starts_inside
 
 
@@ -84,7 +84,7 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 13) -> DataFrame:
 
 def p9_leaks(spark, d: str) -> DataFrame:
     """Each leak with the share of the item found."""
-    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id", "shared", "of")
+    return leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items")).select("doc_id", "item_id", "shared", "of")
 
 
 def p9_found(spark, d: str) -> DataFrame:

@@ -270,9 +270,9 @@ def link_names(names: DataFrame) -> DataFrame:
     """
     spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = names.select("scope", "name").filter(F.col("scope").isNotNull() & ~is_blank(F.col("name")))
+    names = materialize(names.distinct(), "names")
     # reading a name takes long for its bytes, so the names are spread over a given number of tasks, not by size
-    names = materialize(names.distinct().repartition(spread, "scope", "name"), "names")
-    read = read_names(names, common_words(names)).withColumn("node", F.xxhash64("scope", "kind", F.array_sort("quals"), "core"))
+    read = read_names(names.repartition(spread, "scope", "name"), common_words(names)).withColumn("node", F.xxhash64("scope", "kind", F.array_sort("quals"), "core"))
     read = materialize(read, "read")
     codes = F.udf(halves, "array<string>")
     node = read.groupBy("node").agg(F.first("scope").alias("scope"), F.first("kind").alias("kind"), F.first("quals").alias("quals"), F.first("core").alias("core"), F.count(F.lit(1)).alias("n"))

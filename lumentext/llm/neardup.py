@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, table
+from ..session import materialize, spread, table
 from .shingles import WordHashes, mix, runs_hash, starts_inside
 
 
@@ -134,7 +134,7 @@ def near_duplicates(df: DataFrame, units: Callable = word_units, k: int = 5, lea
     reps = member.groupBy("sha").agg(F.min("id").alias("rep"))
     membership = member.join(reps, "sha").select("id", "rep").distinct()
     texts = materialize(rows.select("id", F.col("level").alias("text")).join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    cand = bucket_pairs(bands(texts, units, k, n_bands, n_rows, weighted))
+    cand = bucket_pairs(bands(spread(texts), units, k, n_bands, n_rows, weighted))
     pairs = cand.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return _verified(pairs.select("a", "b", "text_a", "text_b"), units, k, least), membership
 

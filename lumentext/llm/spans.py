@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, skew_join, table
+from ..session import materialize, skew_join, spread, table
 from .shingles import mix, sliding_min, starts_inside
 
 ROWS, BLOCK = 3, 1 << 16
@@ -147,7 +147,7 @@ def shared_spans(docs: DataFrame, size: int = 120, bits: int = 22) -> DataFrame:
     rows = docs.filter(F.length("text") >= size).select("doc_id", "text")
     keyed = rows.select("doc_id", F.sha2("text", 256).alias("sha"), "text")
     reps = materialize(keyed.groupBy("sha").agg(F.min(F.struct("doc_id", "text")).alias("m"), F.max("doc_id").alias("last")).select("sha", F.col("m.doc_id").alias("rep"), F.col("m.text").alias("text"), F.expr("m.doc_id < last").alias("copied")), "texts")
-    windows = repeated_windows(reps, size, bits)
+    windows = repeated_windows(spread(reps.filter("text is not null")), size, bits)
     groups = windows.groupBy("h").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b").select("h", "n")
     shared = skew_join(windows, groups.select("h"), "h", groups).select("rep", "pos")
     w = Window.partitionBy("rep").orderBy("pos")

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ..session import table
+from ..session import spread, table
 
 #: The folder of the vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -172,4 +172,4 @@ def encode_corpus(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
 
 
 def p8_ids(spark, d: str, name: str = "byte_bpe_50k") -> DataFrame:
-    return encode_corpus(table(spark, d, "documents"), "doc_id", "text", os.path.join(TOKENIZERS, f"{name}.tiktoken"))
+    return encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", os.path.join(TOKENIZERS, f"{name}.tiktoken"))
