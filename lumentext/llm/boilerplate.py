@@ -141,12 +141,34 @@ def template_lines(pages: DataFrame, least_pages: int = 3, least_share: float =
 FIELDS = {"corpus.text": ("corpus", "crawl_id", "text"), "scrapper.descricao": ("scrapper", "rec_id", "descricao")}
 
 
-def p2_found(spark, d: str) -> DataFrame:
+def _pages(spark, d: str) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^\w+://(?:www\.)?([^/:?#]+)", 1)), F.lit(""))
     pages = None
     for i, (t, key, text) in enumerate(FIELDS.values()):
-        df = table(spark, d, t).select((F.col(key) * len(FIELDS) + i).alias("page"), host.alias("host"), F.col(text).alias("text")).filter("text is not null")
-        pages = spread(df) if pages is None else pages.unionByName(spread(df))
-    out = template_lines(pages)
+        df = spread(table(spark, d, t).select((F.col(key) * len(FIELDS) + i).alias("page"), host.alias("host"), F.col(text).alias("text")).filter("text is not null"))
+        pages = df if pages is None else pages.unionByName(df)
+    return pages
+
+
+def _named(df: DataFrame, *cols) -> DataFrame:
+    """(field, rec_id, cols...) of rows by page."""
     field = F.element_at(F.array(*map(F.lit, FIELDS)), (F.pmod("page", F.lit(len(FIELDS))) + 1).cast("int"))
-    return out.select(field.alias("field"), F.floor(F.col("page") / len(FIELDS)).cast("long").alias("rec_id"), F.col("no").alias("line_no"))
+    return df.select(field.alias("field"), F.floor(F.col("page") / len(FIELDS)).cast("long").alias("rec_id"), *cols)
+
+
+def p2_found(spark, d: str) -> DataFrame:
+    return _named(template_lines(_pages(spark, d)), F.col("no").alias("line_no"))
+
+
+def main_content(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """(page, text) without the lines (page, no), and without the blank lines that are left at the ends."""
+    drop = lines.groupBy("page").agg(F.collect_set("no").alias("drop"))
+    p = pages.select("page", "text").join(drop, "page", "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("drop", i), F.lit(False)))
+    return p.select("page", F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "").alias("text"))
+
+
+def p2_main(spark, d: str) -> DataFrame:
+    """The article of every page."""
+    pages = _pages(spark, d)
+    return _named(main_content(pages, template_lines(pages)), "text")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import WS
+from ..operators.components import connected_components
 from ..session import materialize, spread, table
 from .shingles import WordHashes, mix, runs_hash, starts_inside
 
@@ -128,7 +130,7 @@ def near_duplicates(df: DataFrame, units: Callable = word_units, k: int = 5, lea
     NULL, blank and too short texts are in no class. Repeated rows count once; no rows give no rows.
     The chance to miss a pair of similarity j is (1 - j ** n_rows) ** n_bands; no pair below ``least`` is returned.
     """
-    level = F.trim(F.regexp_replace(F.lower("text"), r"(?U)[\s\x{1C}-\x{1F}]+", " "))
+    level = F.trim(F.regexp_replace(F.lower("text"), f"{WS}+", " "))
     rows = df.filter("text is not null").withColumn("level", level).filter((F.length("level") if units is char_units else F.size(F.split("level", " "))) >= k)
     member = materialize(rows.select("id", F.sha2("level", 256).alias("sha")), "members")
     reps = member.groupBy("sha").agg(F.min("id").alias("rep"))
@@ -161,3 +163,20 @@ def p4_found(spark, d: str) -> DataFrame:
         pairs, member = near_duplicates(df, units, k, least, nb, nr)
         out.append(expanded(materialize(pairs, "pairs"), member).select(F.lit(field).alias("field"), "id_a", "id_b"))
     return out[0].unionByName(out[1])
+
+
+def grouped(pairs: DataFrame, membership: DataFrame) -> DataFrame:
+    """(id, class_id, links): one row a record of a class; class_id: the least id of the records linked with it, links: to how many other texts."""
+    labels = connected_components(pairs, "a", "b")
+    degree = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    m = membership.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").join(degree, "rep", "left")
+    return m.select("id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def p4_groups(spark, d: str) -> DataFrame:
+    """Each page and title with the group of its near copies."""
+    out = []
+    for field, (t, col, units, k, least, nb, nr) in FIELDS.items():
+        pairs, member = near_duplicates(table(spark, d, t).select(F.col("crawl_id").alias("id"), F.col(col).alias("text")), units, k, least, nb, nr)
+        out.append(grouped(materialize(pairs, "pairs"), member).select(F.lit(field).alias("field"), "id", "class_id", "links"))
+    return out[0].unionByName(out[1])

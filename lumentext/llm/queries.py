@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable
+from math import comb
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,10 +13,10 @@ _MODULES = {
     "rankagg": ["p5_found", "p5_ranks"],
     "tokens": ["p8_ids"],
     "leakage": ["p9_found", "p9_leaks"],
-    "neardup": ["p4_found"],
-    "neighbours": ["p6_found"],
+    "neardup": ["p4_found", "p4_groups"],
+    "neighbours": ["p6_found", "p6_search"],
     "sentences": ["p7_found"],
-    "boilerplate": ["p2_found"],
+    "boilerplate": ["p2_found", "p2_main"],
     "names": ["p1_found", "p1_entities"],
     "spans": ["p10_found", "p10_shared"],
 }
@@ -36,8 +37,41 @@ WITH r AS (
 )"""
 
 
+_RANKS = """
+WITH l AS (SELECT question_id, chunk_id, max({{'at': scored_at, 'a': CASE WHEN NOT isnan(bm25_score) THEN bm25_score END, 'b': CASE WHEN NOT isnan(sbert_score) THEN sbert_score END, 'c': CASE WHEN NOT isnan(qa_score) THEN qa_score END, 'd': CASE WHEN NOT isnan(retrieval_score) THEN retrieval_score END}}) AS m
+  FROM answer_question WHERE question_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT question_id, chunk_id, unnest([1, 2, 3, 4]) AS k, unnest([m.a, m.b, m.c, m.d]) AS v FROM l),
+f AS (SELECT question_id, chunk_id, k, coalesce(v, min(v) OVER (PARTITION BY question_id, k), 0) AS v FROM s),
+r AS (SELECT question_id, chunk_id, (rank() OVER w + (count(*) OVER (PARTITION BY question_id, k, v) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY question_id, k) AS r FROM f WINDOW w AS (PARTITION BY question_id, k ORDER BY v DESC)),
+o AS (SELECT question_id, chunk_id, list(r ORDER BY r) AS r FROM r GROUP BY 1, 2),
+p AS (SELECT *, 4 * least({0}) AS rho FROM o),
+z AS (SELECT question_id, chunk_id, round(least(1, rho), 12) AS rho, round(list_sum(r) / 4, 12) AS mean_rank FROM p)
+""".format(", ".join(" + ".join(f"{comb(4, j)} * power(r[{k}], {j}) * power(1 - r[{k}], {4 - j})" for j in range(k, 5)) for k in range(1, 5)))
+_WORDS = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), lambda w: w <> '')"
+_LEAKS = f"""
+WITH iw AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM eval_items), dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM iw)),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM dw)),
+n AS (SELECT item_id, count(*) AS k FROM ig GROUP BY 1)
+SELECT doc_id, item_id, count(*) AS shared, any_value(k) AS "of" FROM dg JOIN ig USING (g) JOIN n USING (item_id) GROUP BY 1, 2"""
+_SPANS = """
+WITH w AS (SELECT doc_id, p, text[p + 1:p + 120] AS g FROM (SELECT doc_id, text, unnest(range(len(text) - 119)) AS p FROM documents WHERE len(text) >= 120)),
+s AS (SELECT w.doc_id, w.p FROM w JOIN (SELECT g FROM w GROUP BY g HAVING count(DISTINCT doc_id) > 1) USING (g)),
+b AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 120 THEN 0 ELSE 1 END AS new FROM s),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM b),
+x AS (SELECT doc_id, min(p)::INT AS start_pos, (max(p) + 120)::INT AS end_pos FROM r GROUP BY doc_id, run)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_ranks": _RANKS + "SELECT question_id, chunk_id, rho, mean_rank FROM z",
+        "p5_found": _RANKS + "SELECT question_id, chunk_id FROM z QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY rho, mean_rank, chunk_id) <= 3",
+        "p9_leaks": _LEAKS,
+        "p9_found": f"SELECT doc_id, item_id FROM ({_LEAKS})",
+        "p10_found": _SPANS + "SELECT doc_id, start_pos, end_pos FROM x",
+        "p10_shared": _SPANS + """, t AS (SELECT doc_id, sum(end_pos - start_pos) AS n FROM x GROUP BY 1)
+SELECT doc_id, coalesce(len(text), 0)::INT AS chars, coalesce(n, 0)::BIGINT AS shared, CASE WHEN coalesce(len(text), 0) = 0 THEN 0.0::DOUBLE ELSE round(coalesce(n, 0) / len(text), 6) END AS share FROM documents LEFT JOIN t USING (doc_id)""",
         "p3_frequencies": _FREQ + " SELECT field, val, total, scopes FROM f",
         "p3_found": _FREQ
         + """, n AS (
