@@ -126,6 +126,27 @@ _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2
 _UNIT = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"
 
 
+_OK = "{0} IS NOT NULL AND len(list_filter({0}, lambda x: x <> 0)) > 0"
+_COS = f"{_DOT.format('{0}', '{1}')} / sqrt({_DOT.format('{0}', '{0}')} * {_DOT.format('{1}', '{1}')})"
+_HYBRID = (
+    _BM25
+    + f""", qc AS (SELECT question_id, chunk_id FROM answer_question WHERE question_id % 20 = 0 AND sbert_score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY sbert_score DESC, chunk_id DESC) = 1),
+qv AS (SELECT question_id, embedding AS e FROM qc JOIN chunks USING (chunk_id) WHERE {_OK.format('embedding')}),
+cv AS (SELECT chunk_id, doc_id, type, embedding AS e FROM chunks WHERE {_OK.format('embedding')}),
+dn AS (SELECT question_id, chunk_id, cv.doc_id, type, {_COS.format('qv.e', 'cv.e')} AS d FROM qv JOIN cv ON len(qv.e) = len(cv.e)),
+hs AS (SELECT dn.*, coalesce(b.score, 0) AS s FROM dn LEFT JOIN b USING (question_id, chunk_id)),
+hm AS (SELECT *, min(s) OVER w AS s0, max(s) OVER w AS s1, min(d) OVER w AS d0, max(d) OVER w AS d1 FROM hs WINDOW w AS (PARTITION BY question_id)),
+hy AS (SELECT *, 0.4 * CASE WHEN s1 = s0 THEN 0 ELSE (s - s0) / (s1 - s0) END + 0.6 * CASE WHEN d1 = d0 THEN 0 ELSE (d - d0) / (d1 - d0) END AS h FROM hm)
+"""
+)
+
+
+def _cut(t: str) -> str:
+    """Before the first marker, in list order, whose first place is after 500 characters."""
+    before = [f"regexp_extract({t}, '(?s)^(.*?)\\b{m}\\b', 1)" for m in V.BACK_MATTER]
+    return "CASE " + " ".join(f"WHEN len({b}) > 500 THEN {_strip(b)}" for b in before) + f" ELSE {t} END"
+
+
 def _domain_score(d: str) -> str:
     good = " + ".join(f"CASE WHEN contains({d}, '{g}') THEN 20 ELSE 0 END" for g in V.GOOD_DOMAINS)
     extra = " ".join(f"WHEN type = '{k}' AND {_any(d, ds)} THEN {n}" for k, (n, ds) in V.TYPE_DOMAINS.items())
@@ -158,6 +179,18 @@ SELECT query_id, rank, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY qu
         "odd_one_out": f"""WITH u AS {_UNIT}, c AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(range(64)) AS pos, unnest(v) AS x FROM u) GROUP BY 1, 2), m AS (SELECT label, list(x ORDER BY pos) AS m FROM c GROUP BY 1),
 s AS (SELECT label, vec_id, round({_DOT.format('v', 'm')}, 9) AS score FROM u JOIN m USING (label))
 SELECT label, vec_id, round(score, 5) AS score FROM s WHERE (SELECT count(*) FROM s t WHERE t.label = s.label) >= 3 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score, vec_id) = 1""",
+        "hybrid_rank": _HYBRID + "SELECT question_id, rank, chunk_id, round(h, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(h, 6) DESC, chunk_id DESC)::INT AS rank FROM hy) WHERE rank <= 10",
+        "hybrid_filtered": _HYBRID
+        + """, al AS (SELECT * FROM hy WHERE type = 'album' QUALIFY row_number() OVER (PARTITION BY question_id, doc_id ORDER BY round(h, 6) DESC, chunk_id DESC) = 1)
+SELECT question_id, rank, doc_id, round(h, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(h, 6) DESC, chunk_id DESC)::INT AS rank FROM al) WHERE rank <= 5""",
+        "analogy": f"""WITH u AS {_UNIT}, p AS (SELECT q.vec_id AS query_id, unnest([0, 1, 2]) AS i, unnest([1.0, -1.0, 1.0]) AS sign FROM embeddings q WHERE q.vec_id % 20 = 0),
+x AS (SELECT query_id, unnest(range(64)) AS pos, unnest(list_transform(u.v, lambda y: y * sign)) AS y FROM p JOIN u ON u.vec_id = query_id + i), c AS (SELECT query_id, pos, avg(y) AS y FROM x GROUP BY 1, 2), m AS (SELECT query_id, list(y ORDER BY pos) AS m FROM c GROUP BY 1),
+s AS (SELECT query_id, vec_id, {_COS.format('m', 'v')} AS score FROM m JOIN u ON vec_id < query_id OR vec_id > query_id + 2)
+SELECT query_id, rank, vec_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 3""",
+        "back_matter": f"SELECT crawl_id, len({_cut('t')})::INT AS chars FROM (SELECT crawl_id, text || ' See also these. References 1' AS t FROM corpus WHERE text IS NOT NULL)",
+        "clean_for_chunks": rf"""WITH a AS (SELECT crawl_id, replace(text, chr(10), ' ') AS t FROM corpus WHERE text IS NOT NULL),
+b AS (SELECT crawl_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)While every effort has been made to follow citation style rules.*?if you have any questions\.', ' ', 'g'), '(?i)(What|How|Why|When|Where|Who)[^?]{{10,160}}\?', ' ', 'g'), '\[\d+\]', '', 'g') AS t FROM a)
+SELECT crawl_id, {_strip("regexp_replace(regexp_replace(t, '" + WS + "+', ' ', 'g'), '^[,\\s;:.-]+', '')")} AS text FROM b""",
         "confidence_flag": """WITH a AS (SELECT question_id, chunk_id, max(retrieval_score) AS score FROM answer_question WHERE retrieval_score IS NOT NULL AND NOT isnan(retrieval_score) GROUP BY 1, 2),
 r AS (SELECT *, lead(score) OVER w AS nx, row_number() OVER w AS n FROM a WINDOW w AS (PARTITION BY question_id ORDER BY score DESC, chunk_id))
 SELECT question_id, CASE WHEN score < 0.35 THEN 'low' WHEN coalesce(score - nx, 1.0) < 0.04 THEN 'ambiguous' ELSE 'ok' END AS flag FROM r WHERE n = 1""",
