@@ -3,7 +3,8 @@
 The elements of a line, hashed, are its head and, for menus, its parts, with numbers, names and the site's own name
 made alike. For each element Spark counts the pages of its host, and of all hosts, that hold it, and on how many of them
 before or after the article. Recurring elements that stand there often enough belong to the template. Headings recur, too, but
-within the article; sentences recur, but more often within its paragraphs.
+within the article; sentences recur, but more often within its paragraphs. All bounds are shares, as values recur by chance
+on more pages the more pages there are; names are not counted over hosts.
 """
 
 from __future__ import annotations
@@ -30,11 +31,20 @@ LONG = 110
 SHORT_LINE, LONG_LINE, WITHIN = 0, 1, 2
 
 
+#: A person's or other full name, with a label before it or not.
+NAME = regex.compile(r"(?:[^:]{1,30}:\s*)?\p{Lu}[\p{Ll}'’-]+(?:\s+(?:\p{Lu}\.|(?:\p{Lu}\p{Ll}*['’-]?)?\p{Lu}[\p{Ll}'’-]+|d[aeo]s?|v[ao]n|de[lr]?)){0,3}\s+(?:\p{Lu}\p{Ll}*['’-]?)?\p{Lu}[\p{Ll}'’-]+")
+
+
 def _plain(w: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(c))
 
 
 def _hash(kind: str, what: str) -> int:
+    """An odd number if kind is of names."""
+    return _digest(kind, what) & ~1 | kind.endswith("name")
+
+
+def _digest(kind: str, what: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}\0{what}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
@@ -67,7 +77,9 @@ def elements(line: str, words: list[str], host: str) -> tuple[int, list[int]]:
     parts = [p for p in PARTS.split(line) if p]
     if len(parts) < 2:
         parts = words if len(words) > 2 and not ENDS.search(line) and all(w.isalpha() for w in words) else []
-    return _hash("head", head(words, host)), [_hash("part", NUMBER.sub("#", p.lower())) for p in parts]
+    named = [bool(NAME.fullmatch(p)) for p in (parts if len(parts) > 1 else line.split(","))]
+    kind = "head of a name" if len(named) > 1 and all(named) else "head"
+    return _hash(kind, head(words, host)), [_hash("name" if NAME.fullmatch(p) else "part", NUMBER.sub("#", p.lower())) for p in parts]
 
 
 def line_elements(pages: DataFrame) -> DataFrame:
@@ -105,11 +117,13 @@ def line_elements(pages: DataFrame) -> DataFrame:
     return pages.select("page", "host", "text").mapInArrow(go, "page long, host long, kind int, no int, head long, parts array<long>")
 
 
-def template_lines(pages: DataFrame, least_pages: int = 3, least_share: float = 0.02, pooled_pages: int = 3, edge: float = 0.5) -> DataFrame:
+def template_lines(pages: DataFrame, least_pages: int = 3, least_share: float = 0.02, pooled_share: float = 0.002, edge: float = 0.5) -> DataFrame:
     """(page, no): the non-blank lines of each page that belong to the template of its site.
 
-    An element is of the template if it is on ``least_pages`` pages and ``least_share`` of the pages of its host, or on
-    ``pooled_pages`` of all, and on at least ``edge`` of those pages before or after the article. NULL and blank texts have no lines; a page
+    An element is of the template if it is on ``least_share`` of the pages of its host, or recurs on ``pooled_share`` of those of
+    all hosts that have it (the first page of each host is no recurrence), on ``least_pages`` in any case, and on at least ``edge``
+    of those pages before or after the article. Where it is not so over all hosts, its own host must show it beyond chance, by two
+    standard errors. NULL and blank texts have no lines; a page
     without an article is judged by the elements that others show to be of the template. Repeated pages are joined: their
     lines come once. No rows give no rows. A hot host costs nothing: counts are summed by element before they are shuffled.
     """
@@ -127,9 +141,16 @@ def template_lines(pages: DataFrame, least_pages: int = 3, least_share: float =
     by_host = by_page.groupBy("host", "elem").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.col("edge").cast("int")).alias("edges"), F.count("edge").alias("known"))
     by_host = materialize(by_host, "elements")
     sizes = zone.join(flat.select("page", "host").distinct(), "page").groupBy("host").agg(F.count(F.lit(1)).alias("size"))
-    here = by_host.join(sizes, "host", "left").filter((F.col("pages") >= least_pages) & (F.col("pages") >= least_share * F.coalesce("size", F.lit(0))) & (F.col("edges") >= edge * F.col("known")) & (F.col("known") > 0))
-    pooled = by_host.groupBy("elem").agg(F.sum("pages").alias("pages"), F.sum("edges").alias("edges"), F.sum("known").alias("known"))
-    there = by_host.join(pooled.filter((F.col("pages") >= pooled_pages) & (F.col("edges") >= edge * F.col("known")) & (F.col("known") > 0)).select("elem"), "elem", "left_semi")
+    by_host = by_host.join(sizes, "host", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    at_edges = (F.col("edges") >= edge * F.col("known")) & (F.col("known") > 0)
+    pooled = by_host.groupBy("elem").agg(*(F.sum(c).alias(c) for c in ("pages", "edges", "known", "size")), F.count(F.lit(1)).alias("hosts"))
+    pooled = pooled.filter((F.col("pages") >= least_pages) & at_edges)
+    by_chance = edge * F.col("known") + 2 * F.sqrt(edge * (1 - edge) * F.col("known"))
+    here = by_host.filter((F.col("pages") >= least_pages) & (F.col("pages") >= least_share * F.col("size")) & at_edges)
+    here = here.join(pooled.select("elem", F.lit(True).alias("_all")), "elem", "left").filter(F.col("_all") | (F.col("edges") >= by_chance))
+    recurs = F.col("pages") - F.col("hosts")
+    named = F.pmod("elem", F.lit(2)) == 1
+    there = by_host.join(pooled.filter((recurs > 0) & (recurs >= pooled_share * F.col("size")) & ~named).select("elem"), "elem", "left_semi")
     flagged = here.select("host", "elem").unionByName(there.select("host", "elem")).distinct().withColumn("flag", F.lit(1))
     marks = todo.select("page", "host", "no", F.size("parts").alias("n"), F.explode(F.concat(F.array(F.struct(F.col("head").alias("elem"), F.lit(True).alias("one"))), F.transform("parts", lambda x: F.struct(x.alias("elem"), F.lit(False).alias("one"))))).alias("x"))
     marks = marks.select("page", "host", "no", "n", "x.elem", "x.one").join(flagged, ["host", "elem"])

@@ -101,6 +101,35 @@ def test_template_lines(spark):
     assert boilerplate.template_lines(df.limit(0)).count() == 0
 
 
+def test_template_lines_are_the_same_at_two_sizes(spark):
+    para = "In the long year of {0} the quiet band of Pelimur{0} wrote many songs about the river and the slow garden by the sea, they said."
+    given = [a + b for a in ("An", "Ru", "Ev", "Le", "Id", "To", "Mi", "Ma", "So", "Ke", "Li", "Da") for b in ("a", "ira", "el", "oa", "ina", "ur", "is", "eo", "alia", "om")]
+    who = lambda i: f"{given[i * 7919 % 800 % 120]} {given[i * 7919 % 800 // 7]}ves"
+
+    def page(i):
+        people = [who(i), who(i + 377)]
+        return "\n".join(["Home | News | Shop | Login", para.format(i), para.format(i + 5000), ["", " · ".join(people)][i % 2], "Read next, a boat", f"© {1990 + i % 30} Kuvelin. All rights reserved."])
+
+    found = []
+    for n in (240, 2400):
+        df = spark.createDataFrame([(i, f"h{i % 6}.example", page(i)) for i in range(n)], "page long, host string, text string")
+        found.append({x for x in rows(boilerplate.template_lines(df), "page", "no") if x[0] < 240})
+    assert found[0] == found[1] == {(i, n) for i in range(240) for n in (0, 4, 5)}
+
+
+def test_label_at_the_edge_by_chance_on_one_host(spark):
+    para = "In the long year of {0} the quiet band of Pelimur{0} wrote many songs about the river and the slow garden by the sea, they said."
+    pages = []
+    for h in range(12):
+        for i in range(20):
+            n = 100 * h + i
+            own = [f"Players: Ana Limavel{n}"] if i < 8 else []
+            last = i < (5 if h == 0 else 2)  # after the article
+            pages.append((n, f"h{h}.example", "\n".join(["Home | News | Shop | Login", para.format(n), *([] if last else own), para.format(n + 5000), *(own if last else [])])))
+    df = spark.createDataFrame(pages, "page long, host string, text string")
+    assert set(rows(boilerplate.template_lines(df), "page", "no")) == {(p, 0) for p, _, _ in pages}
+
+
 # 7: sentences
 
 
