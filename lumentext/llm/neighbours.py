@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from .shingles import mix
 
 #: Vectors that decide where the trees divide: a sample of about this many, drawn by hash. All vectors are indexed.
 FIT = 16384
+#: Levels fitted on the sample. Larger leaves are divided further by their own members.
+DEPTH = 11
 SCALE = 32767.0
 UNSURE = 1e-4
 
@@ -95,39 +96,65 @@ def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, sim
 
 
-def forest_lists(vectors: DataFrame, n: int, n_trees: int, leaf: int, k: int) -> DataFrame:
-    """(cls, nb, sim): for each tree the k nearest classes of the same leaf."""
-    depth = int(np.clip(round(np.log2(max(1, n) / leaf)), 0, 11))
+def forest(vectors: DataFrame, n: int, n_trees: int, leaf: int):
+    """(planes, offsets) of trees with about ``leaf`` of n classes a leaf, but of DEPTH levels at most, as a broadcast."""
+    depth = int(np.clip(round(np.log2(max(1, n) / leaf)), 0, DEPTH))
     share = min(1.0, FIT / max(1, n))
     sample = [bytes(r.q) for r in vectors.filter(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("q").collect()] if depth else []
     dim = len(sample[0]) // 2 if sample else 1
     planes, offsets = grow_trees(np.frombuffer(b"".join(sample), np.int16).reshape(-1, dim).astype(np.float32) / np.float32(SCALE), n_trees, depth)
-    salts = max(1, round(n / 2**depth / (2 * leaf)))
-    kept = vectors.sparkSession.sparkContext.broadcast((planes, offsets))
+    return vectors.sparkSession.sparkContext.broadcast((depth, planes, offsets))
+
+
+def routed(rows: DataFrame, key: str, kept) -> DataFrame:
+    """(leaf, key, q) of (key, q): its leaf in each tree."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes, offsets = kept.value
+        depth, planes, offsets = kept.value
         for b in batches:
             if not b.num_rows:
                 continue
-            x, cls = _decode(b.column(1)), b.column(0).to_numpy()
-            salt = (mix(cls.view(np.uint64)) % np.uint64(salts)).astype(np.int64)
-            for t in range(n_trees):
+            x = _decode(b.column(1))
+            for t in range(len(planes)):
                 node = np.zeros(len(x), np.int64)
                 for level in range(depth):
                     at = 2**level - 1 + node
                     dots = np.take_along_axis(x @ planes[t, 2**level - 1 : 2 ** (level + 1) - 1].T, node[:, None], 1)[:, 0] if level < 7 else (x * planes[t, at]).sum(axis=1)
                     node = 2 * node + (dots > offsets[t, at])
-                yield pa.RecordBatch.from_arrays([pa.array((t << 40) + (node << 24) + salt), b.column(0), b.column(1)], names=["leaf", "cls", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array((t << 40) + node), b.column(0), b.column(1)], names=["leaf", key, "q"])
+
+    return rows.select(key, "q").mapInArrow(route, f"leaf long, {key} {dict(rows.dtypes)[key]}, q binary")
+
+
+def divided(x: np.ndarray, most: int, seed: int) -> list[np.ndarray]:
+    """Places of x in parts of at most ``most``, halved along the difference of two members as the trees are."""
+    rng = np.random.default_rng(seed)
+    todo, done = [np.arange(len(x))], []
+    while todo:
+        part = todo.pop()
+        if len(part) <= most:
+            done.append(part)
+            continue
+        a, b = x[part[rng.choice(len(part), 2, replace=False)]]
+        part = part[np.argsort(x[part] @ (a - b), kind="stable")]
+        todo += [part[: len(part) // 2], part[len(part) // 2 :]]
+    return done
+
+
+def forest_lists(vectors: DataFrame, n: int, n_trees: int, leaf: int, k: int) -> DataFrame:
+    """(cls, nb, sim): for each tree the k nearest classes of the same leaf. A leaf of more than four times ``leaf`` is divided by its own members."""
 
     def search(g: pa.Table) -> pa.Table:
         g = g.combine_chunks()
-        cls = g.column("cls").to_numpy()
-        at, sim = _nearest(_decode(g.column("q")), k)
-        ends = pa.array(np.arange(len(cls) + 1, dtype=np.int32) * at.shape[1])
-        return pa.table({"cls": cls, "nb": pa.ListArray.from_arrays(ends, pa.array(cls[at].reshape(-1))), "sim": pa.ListArray.from_arrays(ends, pa.array(sim.reshape(-1)))})
-
-    return vectors.mapInArrow(route, "leaf long, cls long, q binary").groupBy("leaf").applyInArrow(search, "cls long, nb array<long>, sim array<float>")
+        cls, x = g.column("cls").to_numpy(), _decode(g.column("q"))
+        parts = [(p, *_nearest(x[p], k)) for p in (divided(x, 2 * leaf, g.column("leaf")[0].as_py()) if len(x) > 4 * leaf else [np.arange(len(x))])]
+        own = np.concatenate([p for p, _, _ in parts])
+        nb = np.concatenate([cls[p][at].reshape(-1) for p, at, _ in parts])
+        sim = np.concatenate([s.reshape(-1) for _, _, s in parts])
+        ends = pa.array(np.append(0, np.cumsum(np.concatenate([np.full(len(p), at.shape[1]) for p, at, _ in parts]))).astype(np.int32))
+        return pa.table({"cls": cls[own], "nb": pa.ListArray.from_arrays(ends, pa.array(nb)), "sim": pa.ListArray.from_arrays(ends, pa.array(sim))})
+
+    return routed(vectors, "cls", forest(vectors, n, n_trees, leaf)).groupBy("leaf").applyInArrow(search, "cls long, nb array<long>, sim array<float>")
 
 
 def best_lists(lists: DataFrame, k: int) -> DataFrame:

@@ -236,3 +236,19 @@ def test_neighbour_recall_and_many_copies(spark):
     np.fill_diagonal(s, -9)
     want = {tuple(sorted((ids[i], ids[j]))) for i in range(1500) for j in np.argsort(-s[i], kind="stable")[:5]}
     assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def test_neighbours_beyond_the_deepest_fitted_level(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "DEPTH", 1, raising=False)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 16))[rng.integers(150, size=3000)] + rng.normal(size=(3000, 16)) * 0.3
+    ids = [f"c{i:04d}" for i in range(3000)]
+    df = spark.createDataFrame(list(zip(ids, x.tolist())), "id string, v array<double>")
+    got = set(rows(neighbours.nearest_pairs(df, "id", "v", 16, leaf=200), "a", "b"))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -9)
+    want = {tuple(sorted((ids[i], ids[j]))) for i in range(3000) for j in np.argsort(-s[i], kind="stable")[:5]}
+    assert len(got & want) >= 0.9 * len(want)
+    parts = neighbours.divided(u, 100, 1)
+    assert sorted(np.concatenate(parts)) == list(range(3000)) and max(map(len, parts)) <= 100
