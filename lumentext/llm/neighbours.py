@@ -322,20 +322,32 @@ def _similar(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select("qid", "cls", "q", "v").mapInArrow(go, f"qid {kind}, cls long, sim double")
 
 
-def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 24, starts: int = 64, hops: int = 8) -> DataFrame:
+def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 24, n_trees: int = 4, leaf: int = 2048, hops: int = 8) -> DataFrame:
     """(qid, cls, sim, rank): greedy search of the graph for each of (qid, q), q as in vectors.
 
-    From about ``starts`` classes drawn by hash, each hop takes the best ``beam`` met so far, follows those not followed yet, and
+    From the nearest classes of its leaf in each tree of a projection forest, as the graph need not be connected, each hop takes the best ``beam`` met so far, follows those not followed yet, and
     ends when no query has any, or after ``hops``. No queries or an empty graph give no rows.
     """
     kind = dict(queries.dtypes)["qid"]
-    n = vectors.count()
     edges = materialize(adjacency(graph), "edges")
-    some = vectors.filter(F.pmod(F.xxhash64("cls"), F.lit(max(1, n // starts))) == 0).select("cls", F.col("q").alias("v"))
-    first = F.broadcast(some.withColumn("_one", F.lit(1)))  # about ``starts`` rows, whatever the table's size
     w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), "cls")
     best = lambda df: df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= beam).drop("_n")
-    state = materialize(best(_similar(queries.withColumn("_one", F.lit(1)).join(first, "_one"), kind).withColumn("done", F.lit(False))), "state")
+
+    def first(asked: pa.Table, held: pa.Table) -> pa.Table:
+        qid, cls = asked.column("qid").combine_chunks(), held.column("cls").to_numpy()
+        if not len(qid) or not len(cls):
+            return pa.table({"qid": qid.slice(0, 0), "cls": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        u, x, n = _decode(asked.column("q")), _decode(held.column("q")), min(beam, len(cls))
+        at, sim = np.empty((len(u), n), np.int64), np.empty((len(u), n))
+        for i in range(0, len(u), 1024):
+            s = u[i : i + 1024] @ x.T
+            at[i : i + 1024] = np.argpartition(-s, n - 1, axis=1)[:, :n]
+            sim[i : i + 1024] = np.take_along_axis(s, at[i : i + 1024], 1)
+        return pa.table({"qid": qid.take(pa.array(np.repeat(np.arange(len(u)), n))), "cls": cls[at.reshape(-1)], "sim": sim.reshape(-1)})
+
+    kept = forest(vectors, vectors.count(), n_trees, leaf)
+    starts = routed(queries, "qid", kept).groupBy("leaf").cogroup(routed(vectors, "cls", kept).groupBy("leaf")).applyInArrow(first, f"qid {kind}, cls long, sim double")
+    state = materialize(best(starts.groupBy("qid", "cls").agg(F.max("sim").alias("sim")).withColumn("done", F.lit(False))), "state")
     for _ in range(hops):
         met = state.filter("not done").join(edges, "cls").select("qid", F.col("nb").alias("cls")).distinct().join(state, ["qid", "cls"], "left_anti")
         new = _similar(met.join(vectors.select("cls", F.col("q").alias("v")), "cls").join(queries, "qid"), kind).withColumn("done", F.lit(False))

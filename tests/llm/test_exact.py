@@ -252,3 +252,17 @@ def test_neighbours_beyond_the_deepest_fitted_level(spark, monkeypatch):
     assert len(got & want) >= 0.9 * len(want)
     parts = neighbours.divided(u, 100, 1)
     assert sorted(np.concatenate(parts)) == list(range(3000)) and max(map(len, parts)) <= 100
+
+
+def test_graph_search_reaches_every_component(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 16))[np.arange(3000) % 150] * 3 + rng.normal(size=(3000, 16)) * 0.2  # 150 groups of 20
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    q = np.round(u * neighbours.SCALE).astype(np.int16)
+    vectors = neighbours.materialize(spark.createDataFrame([(2 * i, bytearray(q[i].tobytes())) for i in range(3000)], "cls long, q binary"), "vectors")
+    asked = spark.createDataFrame([(f"q{i}", bytearray(q[i].tobytes())) for i in range(0, 3000, 10)], "qid string, q binary")
+    found = neighbours.graph_search(neighbours.neighbour_graph(vectors, leaf=200), vectors, asked, 6, leaf=200)
+    got = {(r.qid, r.cls // 2) for r in found.collect()}
+    want = {(f"q{i}", j) for i in range(0, 3000, 10) for j in np.argsort(-(u[i] @ u.T), kind="stable")[:6]}
+    assert len(got & want) >= 0.9 * len(want)
+    assert neighbours.graph_search(neighbours.neighbour_graph(vectors, leaf=200), vectors, asked.limit(0), 6).count() == 0
