@@ -26,7 +26,7 @@ PARTS = regex.compile(r"\s*(?:[>»|·/•→]+|\s{2,})\s*")
 SENTENCE_END = regex.compile(r"(?<!(?<!\d)\d{1,2}\.)(?<=[.!?…][\"”»“]?)\s+(?=\S)")
 ENDS = regex.compile(r"[.!?…][\"”»“)]*$")
 NUMBER = regex.compile(r"\d+(?:[.,:]\d+)*")
-#: Lines from this many characters on that end as a sentence does are taken as the article's.
+#: Lines from this many characters on that end as a sentence does are taken as the article's unless they recur on its host.
 LONG = 110
 SHORT_LINE, LONG_LINE, WITHIN = 0, 1, 2
 
@@ -99,7 +99,7 @@ def line_elements(pages: DataFrame) -> DataFrame:
                     if not line:
                         continue
                     if len(line) >= LONG and ENDS.search(line):
-                        k, h, q = LONG_LINE, 0, []
+                        k, h, q = LONG_LINE, _hash("line", line), []
                         for x in SENTENCE_END.split(line):
                             within[_hash("head", head(x.split(None, 4)[:4], host))] += 1
                     else:
@@ -117,13 +117,30 @@ def line_elements(pages: DataFrame) -> DataFrame:
     return pages.select("page", "host", "text").mapInArrow(go, "page long, host long, kind int, no int, head long, parts array<long>")
 
 
+def recurring_long(lines: DataFrame, least_pages: int, least_share: float) -> DataFrame:
+    """(host, head): long lines on ``least_share`` of the pages of their host, and on ``least_pages``, whose articles differ.
+
+    Copies of an article share its other long lines, too, so a page counts as the mean of 1 / pages of its other long lines.
+    """
+    per = lines.filter(F.col("kind") == LONG_LINE).select("page", "host", "head").distinct()
+    sizes = lines.filter(F.col("kind") != WITHIN).select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    counts = materialize(per.groupBy("host", "head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "long")
+    often = lambda c: (F.col(c) >= least_pages) & (F.col(c) >= least_share * F.col("size"))
+    some = counts.join(sizes, "host").filter(often("n")).select("host", "head", "size")
+    pages = per.join(some.select("host", "head"), ["host", "head"], "left_semi").select("page").distinct()
+    near = per.join(pages, "page", "left_semi").join(counts, ["host", "head"], "left").withColumn("w", 1 / F.coalesce("n", F.lit(1)))
+    of_page = near.groupBy("page").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("k"))
+    own = near.join(some, ["host", "head"]).join(of_page.filter("k > 1"), "page")
+    return own.groupBy("host", "head").agg(F.sum((F.col("all") - F.col("w")) / (F.col("k") - 1)).alias("articles"), F.max("size").alias("size")).filter(often("articles")).select("host", "head")
+
+
 def template_lines(pages: DataFrame, least_pages: int = 3, least_share: float = 0.02, pooled_share: float = 0.002, edge: float = 0.5) -> DataFrame:
     """(page, no): the non-blank lines of each page that belong to the template of its site.
 
     An element is of the template if it is on ``least_share`` of the pages of its host, or recurs on ``pooled_share`` of those of
     all hosts that have it (the first page of each host is no recurrence), on ``least_pages`` in any case, and on at least ``edge``
     of those pages before or after the article. Where it is not so over all hosts, its own host must show it beyond chance, by two
-    standard errors. NULL and blank texts have no lines; a page
+    standard errors. A long line is held to twice ``least_pages`` and ``least_share``, on pages of different articles. NULL and blank texts have no lines; a page
     without an article is judged by the elements that others show to be of the template. Repeated pages are joined: their
     lines come once. No rows give no rows. A hot host costs nothing: counts are summed by element before they are shuffled.
     """
@@ -131,7 +148,9 @@ def template_lines(pages: DataFrame, least_pages: int = 3, least_share: float =
     short, within = F.col("kind") == SHORT_LINE, F.col("kind") == WITHIN
     heads = lines.filter(F.col("kind") != LONG_LINE).groupBy("head").agg(F.sum(F.when(within, F.col("no")).otherwise(0)).alias("inside"), F.sum(short.cast("int")).alias("alone"))
     prose = heads.filter("inside > alone").select("head", F.lit(True).alias("prose"))
-    flat = lines.filter(~within).join(prose, "head", "left").withColumn("article", (F.col("kind") == LONG_LINE) | F.coalesce("prose", F.lit(False)))
+    notices = recurring_long(lines, 2 * least_pages, 2 * least_share).withColumn("notice", F.lit(True))
+    flat = lines.filter(~within).join(prose, "head", "left").join(notices, ["host", "head"], "left")
+    flat = flat.withColumn("article", ((F.col("kind") == LONG_LINE) & F.col("notice").isNull()) | F.coalesce("prose", F.lit(False)))
     zone = flat.filter("article").groupBy("page").agg(F.min("no").alias("first"), F.max("no").alias("last"))
     todo = flat.filter("not article").join(zone, "page", "left")
     at_edge = (F.col("no") < F.col("first")) | (F.col("no") > F.col("last"))

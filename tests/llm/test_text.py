@@ -130,6 +130,15 @@ def test_label_at_the_edge_by_chance_on_one_host(spark):
     assert set(rows(boilerplate.template_lines(df), "page", "no")) == {(p, 0) for p, _, _ in pages}
 
 
+def test_long_notices_and_copied_articles(spark):
+    para = "In the long year of {0} the quiet band of Pelimur{0} wrote many songs about the river and the slow garden by the sea, they said."
+    notice = "We use small files to remember what you chose, to count our readers and to show what may be of use to you; read more on our pages."
+    pages = [(i, "kuvelin.example", "\n".join([notice, para.format(i), para.format(i + 50), notice])) for i in range(24)]
+    pages += [(i, "kuvelin.example", "\n".join([notice, *(para.format(n) for n in (900, 901, 902))])) for i in range(100, 108)]  # one article
+    df = spark.createDataFrame(pages, "page long, host string, text string")
+    assert set(rows(boilerplate.template_lines(df), "page", "no")) == {(i, n) for i in range(24) for n in (0, 3)} | {(i, 0) for i in range(100, 108)}
+
+
 # 7: sentences
 
 
