@@ -1,10 +1,11 @@
-"""Evaluation texts inside training text: size-partitioned MinHash containment search with an exact check.
+"""Evaluation texts inside training text: MinHash search of equal windows with an exact check.
+
+This stands in place of a size-partitioned MinHash containment search, which is not built: there are no size classes.
 
 Both sides are cut into domains of one size, windows of ``run`` words, so that containment of an item's window in a
 document means equality of two domains, whatever the sizes of item and document. The MinHash of a domain is the least hash of
 its ``k``-word shingles. Equal domains have equal MinHashes, so the search loses nothing, and neighbouring domains mostly
-share theirs, so a document sends two values for each run - k + 2 words. Items are partitioned by size, from which follows how
-many values they send. Candidates are checked by exact containment of a ``run``-word shingle.
+share theirs, so a document sends two values for each run - k + 2 words. Candidates are checked by exact containment of a ``run``-word shingle.
 """
 
 from __future__ import annotations
