@@ -78,6 +78,12 @@ def _cells(a: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(a + np.uint64(r * 0x1234567)) >> np.uint64(64 - bits)).astype(np.int64) for r in range(ROWS)]
 
 
+def add_capped(row: np.ndarray, c: np.ndarray) -> None:
+    """Counts the cells c, repeats included, up to two; no byte can overflow."""
+    cell, n = np.unique(c[row[c] < 2], return_counts=True)
+    row[cell] = np.minimum(row[cell] + np.minimum(n, 2), 2)
+
+
 def repeated_bits(reps: DataFrame, size: int, bits: int) -> list[bytes]:
     """For each row of the merged sketch, packed bits: which of its 2 ** bits counters reach two.
 
@@ -92,8 +98,7 @@ def repeated_bits(reps: DataFrame, size: int, bits: int) -> list[bytes]:
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (o[1:] != o[:-1])
             for row, c in zip(sketch, _cells(a[new], bits)):
-                np.add.at(row, c[row[c] < 2], np.uint8(1))
-                row[c] = np.minimum(row[c], 2)
+                add_capped(row, c)
         flat = sketch.reshape(-1, min(BLOCK, 1 << bits))
         use = np.flatnonzero(flat.any(axis=1))
         yield pa.RecordBatch.from_arrays(

@@ -266,3 +266,11 @@ def test_graph_search_reaches_every_component(spark):
     want = {(f"q{i}", j) for i in range(0, 3000, 10) for j in np.argsort(-(u[i] @ u.T), kind="stable")[:6]}
     assert len(got & want) >= 0.9 * len(want)
     assert neighbours.graph_search(neighbours.neighbour_graph(vectors, leaf=200), vectors, asked.limit(0), 6).count() == 0
+
+
+def test_counters_do_not_overflow():
+    for n in (1, 2, 255, 256, 512):
+        for before in (0, 1, 2):
+            row = np.array([before, 0], np.uint8)
+            spans.add_capped(row, np.zeros(n, np.int64))
+            assert list(row) == [min(2, before + n), 0]
