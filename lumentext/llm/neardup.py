@@ -7,6 +7,7 @@ equal weights is the Jaccard similarity of the sets. A record's processes end on
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -68,8 +69,25 @@ def probminhash(owner: np.ndarray, elems: np.ndarray, weights: np.ndarray, n: in
     return sig.reshape(n, m)
 
 
-def bands(df: DataFrame, units: Callable, k: int, n_bands: int, n_rows: int, weighted: bool = False) -> DataFrame:
-    """(id, h): a hash for each band of each record's signature. Records without a shingle have none."""
+def levelled(df: DataFrame, units: Callable, k: int) -> DataFrame:
+    """(id, sha, level) of (id, text): the text after case and white space are levelled, and its digest. Texts of fewer than k units are left out."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, level = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                words = word_units(t) if t else []
+                flat = " ".join(words)
+                if (len(words) if units is word_units else len(flat)) >= k:
+                    at.append(i), level.append(flat)
+            sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest() for x in level]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(sha, pa.binary()), pa.array(level, pa.string())], names=["id", "sha", "level"])
+
+    return df.select("id", "text").filter("id is not null and text is not null").mapInArrow(go, "id long, sha binary, level string")
+
+
+def bands(df: DataFrame, units: Callable, k: int, n_bands: int, n_rows: int, weighted: bool = True) -> DataFrame:
+    """(id, h): a hash for each band of each record's signature. Records without a shingle have none. weighted: a shingle's weight is how often it occurs, else 1."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -87,16 +105,47 @@ def bands(df: DataFrame, units: Callable, k: int, n_bands: int, n_rows: int, wei
     return df.select("id", "text").mapInArrow(go, "id long, h long")
 
 
-def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of ids with a common bucket h.
+def run_pairs(h: np.ndarray, ids: np.ndarray, hot: int, large: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, h) of whole runs of h: a pair of ids, or a = b for each id of a run of more than ``hot``, or of the run that is known to be ``large``."""
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(h)))
+    two = first[n == 2]
+    members = np.repeat((n > hot) | (h[first] == large if large is not None else False), n)
+    a, b, k = [ids[members], ids[two]], [ids[members], ids[two + 1]], [h[members], h[two]]
+    for at, size in zip(first[(n > 2) & (n <= hot)], n[(n > 2) & (n <= hot)]):
+        if large is None or h[at] != large:
+            u, v = np.triu_indices(size, 1)
+            a.append(ids[at + u]), b.append(ids[at + v]), k.append(np.full(len(u), h[at]))
+    a, b, k = (np.concatenate(x) for x in (a, b, k))
+    return np.minimum(a, b), np.maximum(a, b), k
+
+
+def bucket_pairs(rows: DataFrame, hot: int = 2048, salts: int = 64) -> DataFrame:
+    """Distinct (a, b), a < b, of ids with a common bucket h; rows: (id, h), distinct.
 
-    Buckets are counted first, on the map side too: those of one are dropped, those of two give their pair without a join, and
-    only the rows of the few larger ones are joined.
+    The rows are sorted by bucket once, and each bucket is read as a run. One of up to ``hot`` ids gives its pairs at once; the ids of a
+    larger one are passed on as they come, to a join of one side dealt to ``salts`` tasks, so that no task holds the bucket or its pairs.
     """
-    b = materialize(rows.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b"), "buckets")
-    more = rows.join(b.filter("n > 2").select("h"), "h", "left_semi")
-    many = more.alias("x").join(more.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    return b.filter("n = 2").select("a", "b").unionByName(many).distinct()
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, ids, large = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        out = lambda a, b, k: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(k)], names=["a", "b", "h"])
+        for batch in batches:
+            h, ids = np.concatenate([h, batch.column(1).to_numpy()]), np.concatenate([ids, batch.column(0).to_numpy()])
+            cut = int(np.searchsorted(h, h[-1])) if len(h) else 0
+            yield out(*run_pairs(h[:cut], ids[:cut], hot, large))
+            h, ids = h[cut:], ids[cut:]
+            if len(h) > hot or (len(h) and h[0] == large):
+                large = h[0]
+                yield out(ids, ids, h)
+                h, ids = h[:0], ids[:0]
+        yield out(*run_pairs(h, ids, hot, large))
+
+    found = materialize(rows.repartition("h").sortWithinPartitions("h").mapInArrow(go, "a long, b long, h long"), "buckets")
+    large = found.filter("a = b").select("h", F.col("a").alias("id"))
+    left = large.select("h", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
+    right = large.select("h", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("salt"))
+    return found.filter("a < b").select("a", "b").unionByName(left.join(right, ["h", "salt"]).filter("a < b").select("a", "b")).distinct()
 
 
 def _verified(pairs: DataFrame, units: Callable, k: int, least: float) -> DataFrame:
@@ -122,21 +171,21 @@ def _verified(pairs: DataFrame, units: Callable, k: int, least: float) -> DataFr
     return pairs.mapInArrow(go, "a long, b long, j double")
 
 
-def near_duplicates(df: DataFrame, units: Callable = word_units, k: int = 5, least: float = 0.8, n_bands: int = 32, n_rows: int = 4, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, units: Callable = word_units, k: int = 5, least: float = 0.8, n_bands: int = 32, n_rows: int = 4, weighted: bool = True) -> tuple[DataFrame, DataFrame]:
     """Of (id, text), id unique: (a, b, j) between class representatives, and the membership (id, rep).
 
     A class holds the records of one text after case and white space are levelled; so copies, however many, are compared once.
-    NULL, blank and too short texts are in no class. Repeated rows count once; no rows give no rows.
-    The chance to miss a pair of similarity j is (1 - j ** n_rows) ** n_bands; no pair below ``least`` is returned.
+    NULL ids, NULL, blank and too short texts are in no class. Repeated rows count once; no rows give no rows.
+    The chance to miss a pair whose shingles' probability Jaccard similarity is j is (1 - j ** n_rows) ** n_bands; for shingles that occur as
+    often in both it is their Jaccard similarity. What is returned is verified: the exact Jaccard similarity of the sets is ``least`` or more.
     """
-    level = F.trim(F.regexp_replace(F.lower("text"), r"(?U)[\s\x{1C}-\x{1F}]+", " "))
-    rows = df.filter("text is not null").withColumn("level", level).filter((F.length("level") if units is char_units else F.size(F.split("level", " "))) >= k)
-    member = materialize(rows.select("id", F.sha2("level", 256).alias("sha")), "members")
-    reps = member.groupBy("sha").agg(F.min("id").alias("rep"))
-    membership = member.join(reps, "sha").select("id", "rep").distinct()
-    texts = materialize(rows.select("id", F.col("level").alias("text")).join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    level = materialize(levelled(spread(df), units, k), "levelled")
+    # all records of a digest have the same levelled text, so any of them serves
+    texts = materialize(level.groupBy("sha").agg(F.min("id").alias("id"), F.first("level").alias("text")), "texts")
+    membership = level.select("id", "sha").join(texts.select(F.col("id").alias("rep"), "sha"), "sha").select("id", "rep").distinct()
     cand = bucket_pairs(bands(spread(texts), units, k, n_bands, n_rows, weighted))
-    pairs = cand.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    texts = texts.select("id", "text")
+    pairs = cand.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
     return _verified(pairs.select("a", "b", "text_a", "text_b"), units, k, least), membership
 
 
