@@ -156,12 +156,18 @@ def _verified(pairs: DataFrame, units: Callable, k: int, least: float) -> DataFr
         return {u[i : i + k] for i in range(len(u) - k + 1)} if isinstance(u, str) else set(zip(*(u[i:] for i in range(k))))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, set] = {}  # a text stands in several pairs, which come together for one of the two
         for b in batches:
-            rows, last, x = [], None, set()
+            rows = []
             for i, j, s, t in zip(*(c.to_pylist() for c in b.columns)):
-                if i != last:
-                    last, x = i, grams(s)
-                y = grams(t)
+                if len(known) > 4000:
+                    known.clear()
+                if (x := known.get(i)) is None:
+                    x = known[i] = grams(s)
+                if (y := known.get(j)) is None:
+                    y = known[j] = grams(t)
+                if min(len(x), len(y)) < least * max(len(x), len(y)):
+                    continue
                 both = len(x & y)
                 if both and both >= least * (len(x) + len(y) - both):
                     rows.append((i, j, both / (len(x) + len(y) - both)))
