@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 import regex
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words for the leakage search: maximal runs of letters or digits.
 WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -58,3 +65,24 @@ def starts_inside(lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     pos = np.arange(len(owner)) - first[owner] if len(owner) else owner
     ok = pos + k <= lengths[owner] if len(owner) else np.zeros(0, bool)
     return np.flatnonzero(ok), owner
+
+
+def merged(blocks: DataFrame, add: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: type, fan: int = 64) -> DataFrame:
+    """(block, counts) of (block, counts): the arrays of each block added by ``add``, packed by zlib. The rows of a block are merged in a tree, about ``fan`` at a time."""
+
+    def merge(counts: pd.Series) -> bytes:
+        total = None
+        for c in counts:
+            a = np.frombuffer(zlib.decompress(c), kind)
+            total = a if total is None else add(total, a)
+        return zlib.compress(total.tobytes(), 1)
+
+    fold = F.pandas_udf(merge, T.BinaryType(), F.PandasUDFType.GROUPED_AGG)
+    parts, turns = blocks.rdd.getNumPartitions(), fan
+    while turns * fan < parts:
+        turns *= fan
+    blocks = blocks.withColumn("turn", F.spark_partition_id())
+    while turns > 1 and parts > fan:
+        blocks = blocks.groupBy("block", F.pmod("turn", F.lit(turns)).alias("turn")).agg(fold("counts").alias("counts"))
+        turns //= fan
+    return blocks.groupBy("block").agg(fold("counts").alias("counts"))

@@ -177,6 +177,26 @@ def test_sentences(model, text, want):
     assert [text[a:b] for a, b in sentences.sentences(text, False, model)] == want
 
 
+def test_unmarked_texts_are_split_by_the_n_gram_model():
+    from collections import Counter
+
+    rng = __import__("random").Random(1)
+    who, did, where = ["i", "he", "she", "they", "we"], ["went", "stayed", "slept", "walked", "sang"], ["home", "there", "outside", "late", "again"]
+    say = lambda: f"{rng.choice(who).capitalize()} {rng.choice(did)} {rng.choice(where)}."
+    zh = lambda: rng.choice("他她我") + rng.choice(["去了", "看了", "买了"]) + rng.choice(["商店", "面包", "公园"]) + "。"
+    texts = [" ".join(say() for _ in range(4)) for _ in range(300)] + ["".join(zh() for _ in range(4)) for _ in range(300)]
+    n, grams = Counter(), sentences.Grams()
+    sentences.count_events(texts, False, n)
+    grams.add(texts, False)
+    model = sentences.Model(dict(n), sentences.Grams(grams.counts))
+    split = lambda t: [t[a:b] for a, b in sentences.sentences(t, False, model)]
+    assert split("i went home he stayed there she sang again") == ["i went home", "he stayed there", "she sang again"]
+    assert split("他去了商店她买了面包我看了公园") == ["他去了商店", "她买了面包", "我看了公园"]
+    assert split("他去了商店 他买了面包 然后回家") == ["他去了商店", "他买了面包", "然后回家"]
+    assert sentences.sentences("i went home he stayed there", True, model) == [(0, 27)]  # a line without a mark is one unit
+    assert split("he") == ["he"]
+
+
 def test_units_and_positions(spark, model):
     text = " Menu | Home \n\nHe came. He left. \n1. Song\n"
     df = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "", 0), (4, "a\nb.", 0)], "id long, text string, start_pos int")
