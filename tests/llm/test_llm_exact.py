@@ -156,10 +156,26 @@ def test_shared_spans(spark, monkeypatch):
     df = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, pos int")
     want = brute_spans(docs, 30)
     assert rows(spans.shared_spans(df, 30, 10), "doc_id", "start_pos", "end_pos") == want
-    assert rows(spans.shared_spans(df, 30, 4), "doc_id", "start_pos", "end_pos") == want  # a full sketch loses nothing
+    assert rows(spans.shared_spans(df, 30, 3), "doc_id", "start_pos", "end_pos") == want  # many ranges of anchors
+    assert rows(spans.shared_spans(df, 30, 3, held=0), "doc_id", "start_pos", "end_pos") == want  # sketches too large to be held
+    monkeypatch.setattr(spans.shared_windows, "__defaults__", (2, 3))
+    assert rows(spans.shared_spans(df, 30, 10), "doc_id", "start_pos", "end_pos") == want  # hot anchors
     assert spans.shared_spans(df.limit(0), 30, 10).count() == 0
 
 
+def test_full_sketches_lose_nothing(spark):
+    rng = np.random.default_rng(8)
+    a = "".join(rng.choice(list("abcd"), 60))
+    df = spark.createDataFrame([(i, "".join(rng.choice(list("abcd"), 40)) + a[i : i + 40]) for i in range(12)], "doc_id long, text string")
+    want = brute_spans([(r.doc_id, r.text) for r in df.collect()], 30)
+    reps = df.withColumnRenamed("doc_id", "rep")
+    got = spans.shared_windows(spans.repeated_runs(reps, 30, 3, 1, 1 << 20), 30)
+    cover = {r: set() for r, _, _ in want}
+    for r in got.collect():
+        cover[r.rep] |= set(range(r.lo, r.hi))
+    assert {r: len(c) for r, c in cover.items()} == {d: sum(e - s for x, s, e in want if x == d) for d, _, _ in want}
+
+
 def test_pieces_of_long_texts_hold_each_window_once(monkeypatch):
     monkeypatch.setattr(spans, "HELD", 50)
     texts = ["".join(map(chr, range(100, 400))), "ab", "x" * 120]
@@ -270,7 +286,5 @@ def test_graph_search_reaches_every_component(spark):
 
 def test_counters_do_not_overflow():
     for n in (1, 2, 255, 256, 512):
-        for before in (0, 1, 2):
-            row = np.array([before, 0], np.uint8)
-            spans.add_capped(row, np.zeros(n, np.int64))
-            assert list(row) == [min(2, before + n), 0]
+        assert list(spans.capped(np.zeros(n, np.int64), 2)) == [min(2, n), 0]
+        assert list(spans.add_capped(np.array([2, 0, 1], np.uint8), np.array([2, 1, 1], np.uint8))) == [2, 1, 2]
