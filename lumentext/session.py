@@ -70,10 +70,11 @@ def spread(scan: DataFrame) -> DataFrame:
 def skew_join(rows: DataFrame, keyed: DataFrame, key: str, counts: DataFrame, hot: int = 200_000, salts: int = 32, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``keyed`` (one row a key) where a key may hold a large part of ``rows``.
 
-    counts: (key, n), the number of ``rows`` of each key. Keys with more than ``hot`` rows are
-    spread over ``salts`` tasks; there are at most count(rows) / hot of them, so the list of hot keys is
-    broadcast. The result has the columns of both sides, the key once.
+    counts: (key, n), the number of ``rows`` of each key. Keys with more than ``hot`` rows, or one in 100,000 of all rows if that is
+    more, are spread over ``salts`` tasks; so there are at most 100,000 of them, and their list is broadcast. The result has the columns of both
+    sides, the key once.
     """
+    hot = max(hot, (counts.agg(F.sum("n")).first()[0] or 0) // 100_000)
     hot_keys = counts.filter(F.col("n") > hot).select(F.col(key), F.lit(salts).alias("_salts"))
     left = rows.join(F.broadcast(hot_keys), key, "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_salts")).cast("int"))
