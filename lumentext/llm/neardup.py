@@ -30,23 +30,25 @@ def char_units(t: str) -> str:
     return " ".join(t.lower().split())
 
 
-def shingle_sets(texts: list[str | None], units: Callable, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, shingle, times): the distinct shingle hashes of each text, by owner and hash, and how often each occurs."""
+def shingles(texts: list[str | None], units: Callable, k: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all shingles of the texts in order, how many of each text)."""
     parts = [units(t) if t else () for t in texts]
     n = np.array([len(p) for p in parts], np.int64)
     if units is char_units:
         toks = np.frombuffer("".join(p for p in parts if p).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     else:
-        known = WordHashes()
         toks = np.fromiter((known[w] for p in parts for w in p), np.uint64, int(n.sum()))
-    at, owner = starts_inside(n, k)
-    h, o = runs_hash(toks, k)[at], owner[at]
-    order = np.lexsort((h, o))
-    h, o = h[order], o[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    return runs_hash(toks, k)[starts_inside(n, k)[0]], np.maximum(n - k + 1, 0)
+
+
+def shingle_sets(texts: list[str | None], units: Callable, k: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, shingle, times): the distinct shingles of each of up to 65,536 texts, by owner, as hashes of 48 bits, and how often each occurs."""
+    h, n = shingles(texts, units, k, known)
+    x = np.sort(np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(48), n) | (h >> np.uint64(16)))
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
     first = np.flatnonzero(new)
-    return o[first], h[first], np.diff(np.append(first, len(h)))
+    return (x[first] >> np.uint64(48)).astype(np.int64), x[first] & np.uint64((1 << 48) - 1), np.diff(np.append(first, len(x)))
 
 
 def probminhash(owner: np.ndarray, elems: np.ndarray, weights: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -90,10 +92,11 @@ def bands(df: DataFrame, units: Callable, k: int, n_bands: int, n_rows: int, wei
     """(id, h): a hash for each band of each record's signature. Records without a shingle have none. weighted: a shingle's weight is how often it occurs, else 1."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                owner, h, times = shingle_sets(b.column(1).to_pylist(), units, k)
+                owner, h, times = shingle_sets(b.column(1).to_pylist(), units, k, known)
                 use, o = np.unique(owner, return_inverse=True)
                 sig = probminhash(o, h, times if weighted else np.ones(len(h)), len(use), n_bands * n_rows).reshape(len(use), n_bands, n_rows)
                 x = np.arange(n_bands, dtype=np.uint64)[None, :] + np.zeros((len(use), 1), np.uint64)
@@ -149,26 +152,26 @@ def bucket_pairs(rows: DataFrame, hot: int = 2048, salts: int = 64) -> DataFrame
 
 
 def _verified(pairs: DataFrame, units: Callable, k: int, least: float) -> DataFrame:
-    """(a, b, j) of (a, b, text_a, text_b) whose exact Jaccard similarity is ``least`` or more."""
-
-    def grams(t: str) -> set:
-        u = units(t)
-        return {u[i : i + k] for i in range(len(u) - k + 1)} if isinstance(u, str) else set(zip(*(u[i:] for i in range(k))))
+    """(a, b, j) of (a, b, text_a, text_b) whose Jaccard similarity is ``least`` or more, from all shingles of both, as 64-bit hashes."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, set] = {}  # a text stands in several pairs, which come together for one of the two
+        words, known = WordHashes(), {}  # a text stands in several pairs, which come together for one of the two
+
+        def grams(i: int, t: str) -> np.ndarray:
+            if (x := known.get(i)) is None:
+                if len(known) > 8000:
+                    known.clear()
+                x = known[i] = np.unique(shingles([t], units, k, words)[0])
+            return x
+
         for b in batches:
             rows = []
             for i, j, s, t in zip(*(c.to_pylist() for c in b.columns)):
-                if len(known) > 4000:
-                    known.clear()
-                if (x := known.get(i)) is None:
-                    x = known[i] = grams(s)
-                if (y := known.get(j)) is None:
-                    y = known[j] = grams(t)
+                x, y = grams(i, s), grams(j, t)
                 if min(len(x), len(y)) < least * max(len(x), len(y)):
                     continue
-                both = len(x & y)
+                z = np.sort(np.concatenate([x, y]))
+                both = int((z[1:] == z[:-1]).sum())
                 if both and both >= least * (len(x) + len(y) - both):
                     rows.append((i, j, both / (len(x) + len(y) - both)))
             cols = list(zip(*rows)) or [[], [], []]
