@@ -8,6 +8,7 @@ equal weights is the Jaccard similarity of the sets. A record's processes end on
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import materialize, spread, table
-from .shingles import WordHashes, mix, runs_hash, starts_inside
+from .shingles import WordHashes, merged, mix, runs_hash, starts_inside
 
 
 def word_units(t: str) -> list[str]:
@@ -71,34 +72,79 @@ def probminhash(owner: np.ndarray, elems: np.ndarray, weights: np.ndarray, n: in
     return sig.reshape(n, m)
 
 
-def levelled(df: DataFrame, units: Callable, k: int) -> DataFrame:
-    """(id, sha, level) of (id, text): the text after case and white space are levelled, and its digest. Texts of fewer than k units are left out."""
+#: Counters of the Count-min sketch of shingles, for each of its rows; cells of a block of it as they are merged.
+CELLS, ROWS, BLOCK = 1 << 20, 2, 1 << 16
+#: Weight of a shingle that many records have, such as those of the template of their site.
+COMMON_WEIGHT = 0.25
+
+
+def _cells(h: np.ndarray, row: int) -> np.ndarray:
+    return (mix(h + np.uint64(row * 0x2545F5)) & np.uint64(CELLS - 1)).astype(np.int64)
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, level = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                words = word_units(t) if t else []
-                flat = " ".join(words)
-                if (len(words) if units is word_units else len(flat)) >= k:
-                    at.append(i), level.append(flat)
-            sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest() for x in level]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(sha, pa.binary()), pa.array(level, pa.string())], names=["id", "sha", "level"])
 
-    return df.select("id", "text").filter("id is not null and text is not null").mapInArrow(go, "id long, sha binary, level string")
+def levelled(df: DataFrame, units: Callable, k: int, count: bool) -> DataFrame:
+    """(id, sha, level) of (id, text): the text after case and white space are levelled, and its digest. Texts of fewer than k units are left out.
 
+    count: also rows (block, counts), each partition's Count-min sketch of how many records have each shingle.
+    """
 
-def bands(df: DataFrame, units: Callable, k: int, n_bands: int, n_rows: int, weighted: bool = True) -> DataFrame:
-    """(id, h): a hash for each band of each record's signature. Records without a shingle have none. weighted: a shingle's weight is how often it occurs, else 1."""
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sketch = WordHashes(), np.zeros((ROWS, CELLS if count else 0), np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                b = whole.slice(start, 1000)
+                at, level = [], []
+                for i, t in enumerate(b.column(1).to_pylist()):
+                    words = word_units(t) if t else []
+                    flat = " ".join(words)
+                    if (len(words) if units is word_units else len(flat)) >= k:
+                        at.append(i), level.append(flat)
+                if count:
+                    _, h, _ = shingle_sets(level, units, k, known)
+                    for r in range(ROWS):
+                        sketch[r] += np.bincount(_cells(h, r), minlength=CELLS)
+                sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest() for x in level]
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(sha, pa.binary()), pa.array(level, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=["id", "sha", "level", "block", "counts"])
+        flat = sketch.reshape(-1, BLOCK)
+        use = np.flatnonzero(flat.any(axis=1))
+        n = len(use)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.string()), pa.array(use.astype(np.int64)), pa.array([zlib.compress(flat[i].tobytes(), 1) for i in use], pa.binary())], names=["id", "sha", "level", "block", "counts"])
+
+    return df.select("id", "text").filter("id is not null and text is not null").mapInArrow(go, "id long, sha binary, level string, block long, counts binary")
+
+
+def common_cells(level: DataFrame, share: float) -> np.ndarray:
+    """For each row of the merged sketch, packed bits: which cells count more than ``share`` of the records, and three at least. ROWS * CELLS / 8 bytes, whatever the data."""
+    most = max(2, share * level.filter("id is not null").count())
+    out = np.zeros((ROWS * CELLS // BLOCK, BLOCK // 8), np.uint8)
+    for r in merged(level.filter("block is not null").select("block", "counts"), np.add, np.int64).toLocalIterator():
+        out[r.block] = np.packbits(np.frombuffer(zlib.decompress(r.counts), np.int64) > most)
+    return out.reshape(ROWS, -1)
+
+
+def bands(df: DataFrame, units: Callable, k: int, n_bands: int, n_rows: int, common: np.ndarray | None = None) -> DataFrame:
+    """(id, h): a hash for each band of each record's signature. Records without a shingle have none.
+
+    A shingle's weight is how often it occurs, less if it is common.
+    """
+    kept = df.sparkSession.sparkContext.broadcast(common)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, often = WordHashes(), kept.value
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 owner, h, times = shingle_sets(b.column(1).to_pylist(), units, k, known)
+                weight = times.astype(float)
+                if often is not None:
+                    many = np.ones(len(h), bool)
+                    for r in range(ROWS):
+                        c = _cells(h, r)
+                        many &= (often[r][c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
+                    weight[many] *= COMMON_WEIGHT
                 use, o = np.unique(owner, return_inverse=True)
-                sig = probminhash(o, h, times if weighted else np.ones(len(h)), len(use), n_bands * n_rows).reshape(len(use), n_bands, n_rows)
+                sig = probminhash(o, h, weight, len(use), n_bands * n_rows).reshape(len(use), n_bands, n_rows)
                 x = np.arange(n_bands, dtype=np.uint64)[None, :] + np.zeros((len(use), 1), np.uint64)
                 for r in range(n_rows):
                     x = mix(x) + sig[:, :, r]
@@ -180,19 +226,22 @@ def _verified(pairs: DataFrame, units: Callable, k: int, least: float) -> DataFr
     return pairs.mapInArrow(go, "a long, b long, j double")
 
 
-def near_duplicates(df: DataFrame, units: Callable = word_units, k: int = 5, least: float = 0.8, n_bands: int = 32, n_rows: int = 4, weighted: bool = True) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, units: Callable = word_units, k: int = 5, least: float = 0.8, n_bands: int = 32, n_rows: int = 4, common: float | None = 0.002) -> tuple[DataFrame, DataFrame]:
     """Of (id, text), id unique: (a, b, j) between class representatives, and the membership (id, rep).
 
     A class holds the records of one text after case and white space are levelled; so copies, however many, are compared once.
     NULL ids, NULL, blank and too short texts are in no class. Repeated rows count once; no rows give no rows.
-    The chance to miss a pair whose shingles' probability Jaccard similarity is j is (1 - j ** n_rows) ** n_bands; for shingles that occur as
-    often in both it is their Jaccard similarity. What is returned is verified: the exact Jaccard similarity of the sets is ``least`` or more.
+    The chance to miss a pair whose shingles' probability Jaccard similarity is j is (1 - j ** n_rows) ** n_bands; for shingles of one
+    weight that is their Jaccard similarity. Shingles in more than ``common`` of the records weigh less (none do if it is None), or pages of one site would meet by
+    its template. What is returned is verified: the exact Jaccard similarity of the sets is ``least`` or more.
     """
-    level = materialize(levelled(spread(df), units, k), "levelled")
+    level = materialize(levelled(spread(df), units, k, common is not None), "levelled")
+    often = None if common is None else common_cells(level, common)
+    level = level.filter("id is not null")
     # all records of a digest have the same levelled text, so any of them serves
     texts = materialize(level.groupBy("sha").agg(F.min("id").alias("id"), F.first("level").alias("text")), "texts")
     membership = level.select("id", "sha").join(texts.select(F.col("id").alias("rep"), "sha"), "sha").select("id", "rep").distinct()
-    cand = bucket_pairs(bands(spread(texts), units, k, n_bands, n_rows, weighted))
+    cand = bucket_pairs(bands(spread(texts), units, k, n_bands, n_rows, often))
     texts = texts.select("id", "text")
     pairs = cand.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
     return _verified(pairs.select("a", "b", "text_a", "text_b"), units, k, least), membership
@@ -206,18 +255,18 @@ def expanded(pairs: DataFrame, membership: DataFrame) -> DataFrame:
     return x.filter("a < b or x < y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-#: field -> table, units, shingle length, least similarity, bands, rows
+#: field -> table, text, units, shingle length, least similarity, bands, rows, share of common shingles
 FIELDS = {
-    "corpus.text": ("corpus", "text", word_units, 3, 0.5, 64, 4),
-    "corpus_audit.title": ("corpus_audit", "title", char_units, 3, 0.6, 32, 4),
+    "corpus.text": ("corpus", "text", word_units, 3, 0.5, 64, 4, 0.002),
+    "corpus_audit.title": ("corpus_audit", "title", char_units, 3, 0.6, 32, 4, None),
 }
 
 
 def p4_found(spark, d: str) -> DataFrame:
     out = []
-    for field, (t, col, units, k, least, nb, nr) in FIELDS.items():
+    for field, (t, col, units, *how) in FIELDS.items():
         df = table(spark, d, t).select(F.col("crawl_id").alias("id"), F.col(col).alias("text"))
-        pairs, member = near_duplicates(df, units, k, least, nb, nr)
+        pairs, member = near_duplicates(df, units, *how)
         out.append(expanded(materialize(pairs, "pairs"), member).select(F.lit(field).alias("field"), "id_a", "id_b"))
     return out[0].unionByName(out[1])
 
@@ -233,7 +282,7 @@ def grouped(pairs: DataFrame, membership: DataFrame) -> DataFrame:
 def p4_groups(spark, d: str) -> DataFrame:
     """Each page and title with the group of its near copies."""
     out = []
-    for field, (t, col, units, k, least, nb, nr) in FIELDS.items():
-        pairs, member = near_duplicates(table(spark, d, t).select(F.col("crawl_id").alias("id"), F.col(col).alias("text")), units, k, least, nb, nr)
+    for field, (t, col, units, *how) in FIELDS.items():
+        pairs, member = near_duplicates(table(spark, d, t).select(F.col("crawl_id").alias("id"), F.col(col).alias("text")), units, *how)
         out.append(grouped(materialize(pairs, "pairs"), member).select(F.lit(field).alias("field"), "id", "class_id", "links"))
     return out[0].unionByName(out[1])
