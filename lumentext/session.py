@@ -85,6 +85,11 @@ def skew_join(rows: DataFrame, keyed: DataFrame, key: str, counts: DataFrame, ho
     return left.drop("_salts").join(right.drop("_salts"), [key, "_salt"], how).drop("_salt")
 
 
+def small(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``keys``, narrow rows already written or cheap to compute, marked to be broadcast if there are at most ``most`` of them; otherwise as they are, for a shuffled join."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def is_blank(c: Column) -> Column:
     """True for NULL and for text of white space only, no-break spaces included."""
     return c.isNull() | F.regexp_like(c, F.lit(r"^(?U)\s*$"))
