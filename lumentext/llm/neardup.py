@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import materialize, spread, table
+from ..session import materialize, small, spread, table
 from .shingles import WordHashes, merged, mix, runs_hash, starts_inside
 
 
@@ -76,6 +76,8 @@ def probminhash(owner: np.ndarray, elems: np.ndarray, weights: np.ndarray, n: in
 CELLS, ROWS, BLOCK = 1 << 20, 2, 1 << 16
 #: Weight of a shingle that many records have, such as those of the template of their site.
 COMMON_WEIGHT = 0.25
+#: Shingles of fewer records are not common in tables of any size.
+LEAST_COMMON = 50
 
 
 def _cells(h: np.ndarray, row: int) -> np.ndarray:
@@ -115,8 +117,8 @@ def levelled(df: DataFrame, units: Callable, k: int, count: bool) -> DataFrame:
 
 
 def common_cells(level: DataFrame, share: float) -> np.ndarray:
-    """For each row of the merged sketch, packed bits: which cells count more than ``share`` of the records, and three at least. ROWS * CELLS / 8 bytes, whatever the data."""
-    most = max(2, share * level.filter("id is not null").count())
+    """For each row of the merged sketch, packed bits: which cells count more than ``share`` of the records, and more than LEAST_COMMON. ROWS * CELLS / 8 bytes, whatever the data."""
+    most = max(LEAST_COMMON, share * level.filter("id is not null").count())
     out = np.zeros((ROWS * CELLS // BLOCK, BLOCK // 8), np.uint8)
     for r in merged(level.filter("block is not null").select("block", "counts"), np.add, np.int64).toLocalIterator():
         out[r.block] = np.packbits(np.frombuffer(zlib.decompress(r.counts), np.int64) > most)
@@ -238,11 +240,14 @@ def near_duplicates(df: DataFrame, units: Callable = word_units, k: int = 5, lea
     level = materialize(levelled(spread(df), units, k, common is not None), "levelled")
     often = None if common is None else common_cells(level, common)
     level = level.filter("id is not null")
-    # all records of a digest have the same levelled text, so any of them serves
-    texts = materialize(level.groupBy("sha").agg(F.min("id").alias("id"), F.first("level").alias("text")), "texts")
-    membership = level.select("id", "sha").join(texts.select(F.col("id").alias("rep"), "sha"), "sha").select("id", "rep").distinct()
-    cand = bucket_pairs(bands(spread(texts), units, k, n_bands, n_rows, often))
-    texts = texts.select("id", "text")
+    member = level.select("id", "sha").distinct()
+    reps = member.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    copies = materialize(member.join(reps.filter("n > 1"), "sha").select("id", "rep"), "copies")
+    membership = member.select("id").join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    # the texts of the representatives; repeated rows of one id go by the pairs being distinct
+    texts = level.select("id", F.col("level").alias("text")).join(small(copies.filter("id <> rep").select("id")), "id", "left_anti")
+    cand = materialize(bucket_pairs(bands(spread(texts), units, k, n_bands, n_rows, often)), "pairs")
+    texts = texts.join(small(cand.select(F.col("a").alias("id")).union(cand.select("b")).distinct()), "id", "left_semi").dropDuplicates(["id"])
     pairs = cand.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
     return _verified(pairs.select("a", "b", "text_a", "text_b"), units, k, least), membership
 
