@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ def shingles(texts: list[str | None], units: Callable, k: int, known: WordHashes
     if units is char_units:
         toks = np.frombuffer("".join(p for p in parts if p).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     else:
-        toks = np.fromiter((known[w] for p in parts for w in p), np.uint64, int(n.sum()))
+        toks = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.uint64, int(n.sum()))
     return runs_hash(toks, k)[starts_inside(n, k)[0]], np.maximum(n - k + 1, 0)
 
 
@@ -73,10 +74,10 @@ def probminhash(owner: np.ndarray, elems: np.ndarray, weights: np.ndarray, n: in
 
 
 #: Counters of the Count-min sketch of shingles, for each of its rows; cells of a block of it as they are merged.
-CELLS, ROWS, BLOCK = 1 << 20, 2, 1 << 16
+CELLS, ROWS, BLOCK = 1 << 20, 1, 1 << 16
 #: Weight of a shingle that many records have, such as those of the template of their site.
 COMMON_WEIGHT = 0.25
-#: Shingles of fewer records are not common in tables of any size.
+#: Shingles that occur less often are not common in tables of any size.
 LEAST_COMMON = 50
 
 
@@ -87,7 +88,7 @@ def _cells(h: np.ndarray, row: int) -> np.ndarray:
 def levelled(df: DataFrame, units: Callable, k: int, count: bool) -> DataFrame:
     """(id, sha, level) of (id, text): the text after case and white space are levelled, and its digest. Texts of fewer than k units are left out.
 
-    count: also rows (block, counts), each partition's Count-min sketch of how many records have each shingle.
+    count: also rows (block, counts), each partition's Count-min sketch of how often each shingle occurs.
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +103,9 @@ def levelled(df: DataFrame, units: Callable, k: int, count: bool) -> DataFrame:
                     if (len(words) if units is word_units else len(flat)) >= k:
                         at.append(i), level.append(flat)
                 if count:
-                    _, h, _ = shingle_sets(level, units, k, known)
+                    h, _ = shingles(level, units, k, known)
                     for r in range(ROWS):
-                        sketch[r] += np.bincount(_cells(h, r), minlength=CELLS)
+                        sketch[r] += np.bincount(_cells(h >> np.uint64(16), r), minlength=CELLS)
                 sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest() for x in level]
                 n = len(at)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(sha, pa.binary()), pa.array(level, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=["id", "sha", "level", "block", "counts"])
@@ -234,7 +235,7 @@ def near_duplicates(df: DataFrame, units: Callable = word_units, k: int = 5, lea
     A class holds the records of one text after case and white space are levelled; so copies, however many, are compared once.
     NULL ids, NULL, blank and too short texts are in no class. Repeated rows count once; no rows give no rows.
     The chance to miss a pair whose shingles' probability Jaccard similarity is j is (1 - j ** n_rows) ** n_bands; for shingles of one
-    weight that is their Jaccard similarity. Shingles in more than ``common`` of the records weigh less (none do if it is None), or pages of one site would meet by
+    weight that is their Jaccard similarity. Shingles that occur more than ``common`` times as often as there are records weigh less (none do if it is None), or pages of one site would meet by
     its template. What is returned is verified: the exact Jaccard similarity of the sets is ``least`` or more.
     """
     level = materialize(levelled(spread(df), units, k, common is not None), "levelled")
