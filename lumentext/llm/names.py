@@ -1,9 +1,10 @@
-"""Variant spellings of names: phonetic blocks, Jaro-Winkler with a nickname table, connected components.
+"""Variant spellings of names: phonetic codes of sorted tokens as blocks, Jaro-Winkler with a nickname table, connected components.
 
-A name is read as a person (given name or its initial, surname), an organisation (its kind and proper part) or a mission (its
-proper part and number). Names that read alike form a node. Nodes of one scope and one given name, kind or
-number meet if half of their proper part sounds alike, and are linked if it is alike by Jaro-Winkler and a few edits. Partial
-names, such as a surname, an initial or an acronym, join the one entity of their scope that they fit, and none if they fit several.
+A name is read as a person (given name or its initial, and the other names), an organisation (its kind and proper part) or a mission (its
+proper part and number). Names that read alike form a node. Nodes of one scope and one given name, kind or number meet in a block if the phonetic codes
+of their other tokens, sorted, are the same but for one token, or half of a single one is. They are linked if their tokens are alike by Jaro-Winkler and a few
+edits, as written or as they sound. Partial names, such as a surname, an initial or an acronym, join the one entity of their scope that they fit, and none if they
+fit several.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import is_blank, materialize, table
+from .neardup import bucket_pairs
 
 #: Nickname -> given names.
 NICKNAMES = {
@@ -45,7 +47,13 @@ EXPANDED = {"ori": ["institute", "orbital", "research"]}
 LONG_ORG_WORDS = [w for w in ORG_WORDS if len(w) > 5]
 NUMBERS = {w: i for i, w in enumerate("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split(), 1)}
 ROMAN = {w: i for i, w in enumerate("i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx".split(), 1)}
+#: Spellings of one sound, the longer ones first; then letters of one group.
+SPELLINGS = [("sch", "s"), ("ph", "f"), ("th", "t"), ("sh", "s"), ("ch", "c"), ("ck", "k"), ("gh", "g"), ("qu", "k"), ("ou", "u"), ("oo", "u"), ("ee", "i"), ("ie", "i"), ("v", "f"), ("y", "i"), ("z", "s"), ("x", "s"), ("q", "k"), ("c", "k")]
 SOUNDS = str.maketrans("pqkgtvynzxç", "bccgdfimssc")
+#: Words within a person's name that are left out or kept at will.
+PARTICLES = set("da de do das dos del della der den di du la las le les los van von zu".split())
+#: Words of given names that go to the driver, the most frequent ones.
+MOST_GIVEN = 100_000
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+\.?")
 #: A word is a given name if it is in names of this share of all scopes, and of three at least.
 COMMON = 0.05
@@ -56,6 +64,24 @@ def folded(w: str) -> str:
     return w.replace("vv", "w").replace("rn", "m")
 
 
+def sound(w: str) -> str:
+    """A word as it sounds: spellings of one sound made one, doubled letters single, no h."""
+    for a, b in SPELLINGS:
+        w = w.replace(a, b)
+    return regex.sub(r"(.)\1+", r"\1", w.replace("h", "") or w)
+
+
+def phonetic(w: str) -> str:
+    """The phonetic code of a token: its first letter, its consonants in groups, and the vowel it ends in, which tells Maria from Mario."""
+    s = sound(w)
+    body = regex.sub(r"[aeiou]", "", s[1:]).translate(SOUNDS)
+    return s[:1].translate(SOUNDS) + regex.sub(r"(.)\1+", r"\1", body) + (s[-1] if len(s) > 1 and s[-1] in "aeiou" else "")
+
+
+def sorted_tokens(ws: list[str]) -> str:
+    return " ".join(sorted(ws, key=lambda w: (phonetic(w), w)))
+
+
 def letters(w: str) -> str:
     """Digits that were read for letters."""
     return w.replace("0", "o").replace("1", "l").replace("5", "s")
@@ -111,11 +137,36 @@ def halves(core: str) -> list[str]:
     return sorted({f"<{s[:k]}" for k in (n // 2, (n + 1) // 2)} | {f">{s[n - k :]}" for k in (n // 2, (n + 1) // 2)})
 
 
+def blocks(core: str) -> list[str]:
+    """Keys of the blocks of a proper part: the phonetic codes of its tokens, sorted, all and without each one, and the halves of it as one word."""
+    codes = [phonetic(w) for w in core.split(" ")]
+    less = {"-" + " ".join(codes[:i] + codes[i + 1 :]) for i in range(len(codes))} if len(codes) > 1 else set()
+    return sorted({"~" + " ".join(codes)} | less | set(halves(core.replace(" ", ""))))
+
+
 def alike(kind: str, a: str, b: str) -> bool:
+    """Whether two proper parts are spellings of one: as words, token by token or as one word, or as they sound."""
     if a == b:
         return True
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) > 1:
+        # each token takes the most similar one left; one edit in all for each two tokens
+        left, cost = list(y), 0
+        for w in x:
+            v = max(left, key=lambda v: (jaro_winkler(w, v), v))
+            left.remove(v)
+            if w != v and sound(w) != sound(v):
+                if jaro_winkler(w, v) < 0.88:
+                    break
+                cost += edits(w, v, 2)
+        else:
+            if cost <= max(1, len(x) // 2):
+                return True
+    a, b = "".join(x), "".join(y)
     most = 2 if kind == "P" and min(len(a), len(b)) > 8 else 1
-    return min(len(a), len(b)) > 3 and jaro_winkler(a, b) >= 0.88 and edits(a, b, most) <= most
+    if min(len(a), len(b)) < 4:
+        return False
+    return sound(a) == sound(b) or jaro_winkler(a, b) >= 0.88 and edits(a, b, most) <= most
 
 
 class Givens:
@@ -125,6 +176,7 @@ class Givens:
         self.nick = {folded(k): [folded(v) for v in vs] for k, vs in NICKNAMES.items()}
         self.names = names | set(self.nick) | {v for vs in self.nick.values() for v in vs}
         self.near: dict[str, set[str]] = {}
+        self.by_code: dict[str, list[str]] = {}
         for n in self.names:
             if len(n) > 3:
                 for d in self._cut(n):
@@ -145,6 +197,14 @@ class Givens:
         found = {n for d in self._cut(w) for n in self.near.get(d, ()) if edits(w, n, 1) <= 1}
         return sorted(found) if len(found) == 1 else []
 
+    def sounding(self, w: str) -> list[str]:
+        """The one given name that sounds like a word, or else its phonetic code."""
+        if not self.by_code:
+            for n in self.names:
+                self.by_code.setdefault(phonetic(n), []).append(n)
+        found = self.by_code.get(phonetic(w), [])
+        return found if len(found) == 1 else [f"~{phonetic(w)}"]
+
 
 def org_word(w: str) -> str | None:
     """The standard form of a word of organisations' names, None for another word."""
@@ -178,7 +238,7 @@ def read_name(name: str, givens: Givens) -> tuple[str, list[str], str, list[str]
     org = [org_word(letters(w)) for w, _ in toks]
     kind = sorted({o for o in org if o} | {x for w, _ in toks for x in EXPANDED.get(w, ())})
     if len(kind) >= 2:
-        core = "".join(letters(w) for (w, _), o in zip(toks, org) if o is None and w not in EXPANDED)
+        core = sorted_tokens([letters(w) for (w, _), o in zip(toks, org) if o is None and w not in EXPANDED])
         plain = [letters(folded(w.rstrip("."))) for w in WORDS.findall(text)]
         initials = "".join(w[0] for w in plain if org_word(w) != "" and w not in EXPANDED) if not any(w in EXPANDED for w in plain) else "".join(w if w in EXPANDED else w[0] for w in plain if org_word(w) != "")
         return ("O", [" ".join(kind)], core, [initials]) if len(core) > 2 else acronym
@@ -198,8 +258,11 @@ def read_name(name: str, givens: Givens) -> tuple[str, list[str], str, list[str]
     if marked and len(kept) != 1:
         return None
     kept = [(letters(w), dot) for w, dot in kept]
-    if any(c.isdigit() for w, _ in kept for c in w) or len(kept) > 4:
+    if any(c.isdigit() for w, _ in kept for c in w):
         return None
+    if len(kept) > 2:
+        proper = [(w, dot) for w, dot in kept if w not in PARTICLES]
+        kept = proper if len(proper) > 1 else kept
     # persons
     starts = [w for w, dot in kept if len(w) == 1 or (dot and len(w) == 3 and w not in givens.nick)]
     full = [w for w, dot in kept if w not in starts]
@@ -216,28 +279,28 @@ def read_name(name: str, givens: Givens) -> tuple[str, list[str], str, list[str]
     exact = [i for i, w in enumerate(full) if w in givens.names]
     near = exact or [i for i, w in enumerate(full) if givens.of(w)]
     if not near:
-        return ("P", [full[0]], "".join(full[1:]), []) if len(full) == 2 else None
-    rest = "".join(w for i, w in enumerate(full) if i != near[0])
+        return "P", givens.sounding(full[0]), sorted_tokens(full[1:]), []
+    rest = sorted_tokens([w for i, w in enumerate(full) if i != near[0]])
     return "P", givens.of(full[near[0]]), rest, []
 
 
 def read_names(names: DataFrame, common: set[str]) -> DataFrame:
-    """(scope, name) to (scope, name, kind, quals, core, acronyms)."""
+    """(scope, name) to (scope, name, kind, quals, core, acronyms, codes)."""
     kept = names.sparkSession.sparkContext.broadcast(common)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         givens = Givens(kept.value)
         for b in batches:
-            rows = [(s, n, *r) for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (r := read_name(n, givens))]
-            c = list(zip(*rows)) or [[]] * 6
-            types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], names=["scope", "name", "kind", "quals", "core", "acronyms"])
+            rows = [(s, n, *r, blocks(r[2])) for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (r := read_name(n, givens))]
+            c = list(zip(*rows)) or [[]] * 7
+            types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], names=["scope", "name", "kind", "quals", "core", "acronyms", "codes"])
 
-    return names.select("scope", "name").mapInArrow(go, "scope string, name string, kind string, quals array<string>, core string, acronyms array<string>")
+    return names.select("scope", "name").mapInArrow(go, "scope string, name string, kind string, quals array<string>, core string, acronyms array<string>, codes array<string>")
 
 
 def common_words(names: DataFrame) -> set[str]:
-    """Words in names of COMMON of all scopes: at most 1 / COMMON times the words of a mean scope, so they go to the driver."""
+    """Words in names of COMMON of all scopes, the MOST_GIVEN most frequent ones, so that they can go to the driver."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,8 +308,9 @@ def common_words(names: DataFrame) -> set[str]:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], names=["scope", "word"])
 
     scopes = names.agg(F.count_distinct("scope")).first()[0]
-    df = names.select("scope", "name").mapInArrow(go, "scope string, word string").distinct().groupBy("word").count()
-    return {r.word for r in df.filter(F.col("count") >= max(3, COMMON * scopes)).toLocalIterator()} - TITLES - ROLES - set(ORG_WORDS) - set(NUMBERS) - set(ROMAN)
+    df = names.select("scope", "name").mapInArrow(go, "scope string, word string").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    df = df.filter(F.col("n") >= max(3, COMMON * scopes)).orderBy(F.col("n").desc(), "word").limit(MOST_GIVEN)
+    return {r.word for r in df.toLocalIterator()} - TITLES - ROLES - set(ORG_WORDS) - set(NUMBERS) - set(ROMAN)
 
 
 def _accepted(pairs: DataFrame) -> DataFrame:
@@ -274,15 +338,14 @@ def link_names(names: DataFrame) -> DataFrame:
     # reading a name takes long for its bytes, so the names are spread over a given number of tasks, not by size
     read = read_names(names.repartition(spread, "scope", "name"), common_words(names)).withColumn("node", F.xxhash64("scope", "kind", F.array_sort("quals"), "core"))
     read = materialize(read, "read")
-    codes = F.udf(halves, "array<string>")
-    node = read.groupBy("node").agg(F.first("scope").alias("scope"), F.first("kind").alias("kind"), F.first("quals").alias("quals"), F.first("core").alias("core"), F.count(F.lit(1)).alias("n"))
-    node = materialize(node.withColumn("codes", codes("core")), "nodes")
+    node = read.groupBy("node").agg(F.first("scope").alias("scope"), F.first("kind").alias("kind"), F.first("quals").alias("quals"), F.first("core").alias("core"), F.first("codes").alias("codes"), F.count(F.lit(1)).alias("n"))
+    node = materialize(node, "nodes")
     whole = node.filter("kind in ('P', 'O', 'M')")
-    keyed = whole.select("node", "scope", "kind", "core", "n", F.explode("quals").alias("qual"), "codes").select("node", "scope", "kind", "core", "n", "qual", F.explode("codes").alias("code"))
-    on = ["scope", "kind", "qual", "code"]
-    side = lambda s: keyed.select(*on, F.col("node").alias(f"node_{s}"), F.col("core").alias(f"core_{s}"), F.col("n").alias(f"n_{s}"))
-    met = side("a").join(side("b"), on).filter("node_a < node_b and (core_a = core_b or least(n_a, n_b) = 1)").select("kind", "node_a", "node_b", "core_a", "core_b").distinct()
-    edges = _accepted(met).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    keyed = whole.select("node", "scope", "kind", F.explode("quals").alias("qual"), "codes").select("node", "scope", "kind", "qual", F.explode("codes").alias("code"))
+    met = bucket_pairs(keyed.select(F.col("node").alias("id"), F.xxhash64("scope", "kind", "qual", "code").alias("h")).distinct())
+    side = lambda s: whole.select(F.col("node").alias(s), F.col("scope").alias(f"scope_{s}"), F.col("kind").alias(f"kind_{s}"), F.col("core").alias(f"core_{s}"), F.col("n").alias(f"n_{s}"))
+    met = met.join(side("a"), "a").join(side("b"), "b").filter("scope_a = scope_b and kind_a = kind_b and (core_a = core_b or least(n_a, n_b) = 1)")
+    edges = _accepted(met.select(F.col("kind_a").alias("kind"), "a", "b", "core_a", "core_b")).select("a", "b")
     entity = connected_components(edges)
     whole = materialize(whole.join(entity, "node", "left").select("node", "scope", "kind", "quals", "core", "codes", "n", F.coalesce("label", "node").alias("label")), "whole")
     person = whole.filter("kind = 'P'")

@@ -76,6 +76,23 @@ def test_link_names(spark):
     assert names.link_names(df.limit(0)).count() == 0
 
 
+def test_sounds_orders_and_long_names_link(spark):
+    groups = [
+        ["Maria Silva Santos", "Maria Santos Silva", "Santos Silva, Maria", "Maria da Silva Santos"],
+        ["Stephen Hawking", "Steven Hawking"],
+        ["Maria Phillips", "Maria Filips"],
+        ["Dr. Maria Clara de Sousa e Silva", "Maria Clara Sousa Silva", "Maria Clara de Souza Silva"],
+        ["John Ronald Reuel Tolkien Smith", "John Reuel Ronald Tolkien Smith"],
+        ["Mario Phillips"],
+        ["Ana Costa Lima Prado"],
+    ]
+    df = spark.createDataFrame([("s", n) for g in groups for n in g], "scope string, name string")
+    got = {}
+    for r in names.link_names(df).collect():
+        got.setdefault(r.entity, set()).add(r.name)
+    assert {frozenset(g) for g in got.values() if len(g) > 1} == {frozenset(g) for g in groups if len(g) > 1}
+
+
 def test_measures():
     assert names.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
     assert names.jaro_winkler("abc", "xyz") == 0 and names.edits("abcd", "abdc", 2) == 1 and names.edits("abcd", "wxyz", 2) == 3
