@@ -83,14 +83,14 @@ def elements(line: str, words: list[str], host: str) -> tuple[int, list[int]]:
 
 
 def line_elements(pages: DataFrame) -> DataFrame:
-    """(page, host) and, of each line: kind, no, head, parts; for sentences within long lines: head and how many.
+    """(page, host) and, of each line: kind, no, head, parts, and whole if it ends as a sentence does; for sentences within long lines: head and how many.
 
     pages: (page long, host string, text string).
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            page, host_id, kind, no, heads, parts = [], [], [], [], [], []
+            page, host_id, kind, no, heads, parts, whole = [], [], [], [], [], [], []
             within: Counter = Counter()
             for p, host, text in zip(*(c.to_pylist() for c in b.columns)):
                 hid = _hash("host", host)
@@ -105,16 +105,17 @@ def line_elements(pages: DataFrame) -> DataFrame:
                     else:
                         k, (h, q) = SHORT_LINE, elements(line, line.split(), host)
                     page.append(p), host_id.append(hid), kind.append(k), no.append(i), heads.append(h), parts.append(q)
+                    whole.append(_hash("line", line) if k == SHORT_LINE and ENDS.search(line) else None)
             n = len(within)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(page + [0] * n, pa.int64()), pa.array(host_id + [0] * n, pa.int64()), pa.array(kind + [WITHIN] * n, pa.int32()), pa.array(no + list(within.values()), pa.int32()),
-                    pa.array(heads + list(within), pa.int64()), pa.array(parts + [[]] * n, pa.list_(pa.int64())),
+                    pa.array(heads + list(within), pa.int64()), pa.array(parts + [[]] * n, pa.list_(pa.int64())), pa.array(whole + [None] * n, pa.int64()),
                 ],
-                names=["page", "host", "kind", "no", "head", "parts"],
+                names=["page", "host", "kind", "no", "head", "parts", "whole"],
             )
 
-    return pages.select("page", "host", "text").mapInArrow(go, "page long, host long, kind int, no int, head long, parts array<long>")
+    return pages.select("page", "host", "text").mapInArrow(go, "page long, host long, kind int, no int, head long, parts array<long>, whole long")
 
 
 def recurring_long(lines: DataFrame, least_pages: int, least_share: float) -> DataFrame:
@@ -134,13 +135,14 @@ def recurring_long(lines: DataFrame, least_pages: int, least_share: float) -> Da
     return own.groupBy("host", "head").agg(F.sum((F.col("all") - F.col("w")) / (F.col("k") - 1)).alias("articles"), F.max("size").alias("size")).filter(often("articles")).select("host", "head")
 
 
-def template_lines(pages: DataFrame, least_pages: int = 3, least_share: float = 0.02, pooled_share: float = 0.002, edge: float = 0.5) -> DataFrame:
+def template_lines(pages: DataFrame, least_pages: int = 3, least_share: float = 0.02, pooled_share: float = 0.002, edge: float = 0.5, least_varied: int = 8) -> DataFrame:
     """(page, no): the non-blank lines of each page that belong to the template of its site.
 
     An element is of the template if it is on ``least_share`` of the pages of its host, or recurs on ``pooled_share`` of those of
     all hosts that have it (the first page of each host is no recurrence), on ``least_pages`` in any case, and on at least ``edge``
     of those pages before or after the article. Where it is not so over all hosts, its own host must show it beyond chance, by two
-    standard errors. A long line is held to twice ``least_pages`` and ``least_share``, on pages of different articles. NULL and blank texts have no lines; a page
+    standard errors. A line that ends as a sentence does is known by all of it, too; by its head alone only from ``least_varied`` pages on, as
+    articles may begin or end alike. A long line is held to twice ``least_pages`` and ``least_share``, on pages of different articles. NULL and blank texts have no lines; a page
     without an article is judged by the elements that others show to be of the template. Repeated pages are joined: their
     lines come once. No rows give no rows. A hot host costs nothing: counts are summed by element before they are shuffled.
     """
@@ -154,24 +156,26 @@ def template_lines(pages: DataFrame, least_pages: int = 3, least_share: float =
     zone = flat.filter("article").groupBy("page").agg(F.min("no").alias("first"), F.max("no").alias("last"))
     todo = flat.filter("not article").join(zone, "page", "left")
     at_edge = (F.col("no") < F.col("first")) | (F.col("no") > F.col("last"))
-    todo = todo.select("page", "host", "no", "head", F.array_distinct("parts").alias("parts"), at_edge.alias("edge"))
-    seen = todo.select("page", "host", "edge", F.explode(F.concat(F.array("head"), "parts")).alias("elem"))
-    by_page = seen.groupBy("page", "host", "elem").agg(F.max("edge").alias("edge"))
-    by_host = by_page.groupBy("host", "elem").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.col("edge").cast("int")).alias("edges"), F.count("edge").alias("known"))
+    todo = todo.select("page", "host", "no", "head", F.array_distinct("parts").alias("parts"), "whole", at_edge.alias("edge"))
+    own = F.array_compact(F.array("head", "whole"))
+    seen = todo.select("page", "host", "edge", (F.col("whole").isNotNull()).alias("sentence"), "head", F.explode(F.concat(own, "parts")).alias("elem"))
+    by_page = seen.groupBy("page", "host", "elem").agg(F.max("edge").alias("edge"), F.max(F.col("sentence") & (F.col("elem") == F.col("head"))).alias("varied"))
+    by_host = by_page.groupBy("host", "elem").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.col("edge").cast("int")).alias("edges"), F.count("edge").alias("known"), F.sum(F.col("varied").cast("int")).alias("varied"))
     by_host = materialize(by_host, "elements")
     sizes = zone.join(flat.select("page", "host").distinct(), "page").groupBy("host").agg(F.count(F.lit(1)).alias("size"))
     by_host = by_host.join(sizes, "host", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     at_edges = (F.col("edges") >= edge * F.col("known")) & (F.col("known") > 0)
-    pooled = by_host.groupBy("elem").agg(*(F.sum(c).alias(c) for c in ("pages", "edges", "known", "size")), F.count(F.lit(1)).alias("hosts"))
-    pooled = pooled.filter((F.col("pages") >= least_pages) & at_edges)
+    pooled = by_host.groupBy("elem").agg(*(F.sum(c).alias(c) for c in ("pages", "edges", "known", "size", "varied")), F.count(F.lit(1)).alias("hosts"))
+    enough = F.when(2 * F.col("varied") > F.col("pages"), least_varied).otherwise(least_pages)
+    pooled = pooled.filter((F.col("pages") >= enough) & at_edges)
     by_chance = edge * F.col("known") + 2 * F.sqrt(edge * (1 - edge) * F.col("known"))
-    here = by_host.filter((F.col("pages") >= least_pages) & (F.col("pages") >= least_share * F.col("size")) & at_edges)
+    here = by_host.filter((F.col("pages") >= enough) & (F.col("pages") >= least_share * F.col("size")) & at_edges)
     here = here.join(pooled.select("elem", F.lit(True).alias("_all")), "elem", "left").filter(F.col("_all") | (F.col("edges") >= by_chance))
     recurs = F.col("pages") - F.col("hosts")
     named = F.pmod("elem", F.lit(2)) == 1
     there = by_host.join(pooled.filter((recurs > 0) & (recurs >= pooled_share * F.col("size")) & ~named).select("elem"), "elem", "left_semi")
     flagged = here.select("host", "elem").unionByName(there.select("host", "elem")).distinct().withColumn("flag", F.lit(1))
-    marks = todo.select("page", "host", "no", F.size("parts").alias("n"), F.explode(F.concat(F.array(F.struct(F.col("head").alias("elem"), F.lit(True).alias("one"))), F.transform("parts", lambda x: F.struct(x.alias("elem"), F.lit(False).alias("one"))))).alias("x"))
+    marks = todo.select("page", "host", "no", F.size("parts").alias("n"), F.explode(F.concat(F.transform(own, lambda x: F.struct(x.alias("elem"), F.lit(True).alias("one"))), F.transform("parts", lambda x: F.struct(x.alias("elem"), F.lit(False).alias("one"))))).alias("x"))
     marks = marks.select("page", "host", "no", "n", "x.elem", "x.one").join(flagged, ["host", "elem"])
     found = marks.groupBy("page", "no").agg(F.max("one").alias("one"), F.max("n").alias("n"), F.sum((~F.col("one")).cast("int")).alias("k"))
     return found.filter("one or (n > 1 and 2 * k >= n)").select("page", "no")

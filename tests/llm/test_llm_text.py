@@ -156,6 +156,15 @@ def test_long_notices_and_copied_articles(spark):
     assert set(rows(boilerplate.template_lines(df), "page", "no")) == {(i, n) for i in range(24) for n in (0, 3)} | {(i, 0) for i in range(100, 108)}
 
 
+def test_last_lines_that_begin_alike_and_a_long_notice_on_every_page(spark):
+    para = "In the long year of {0} the quiet band of Pelimur{0} wrote many songs about the river and the slow garden by the sea, they said."
+    pages = [(i, "a.example", "\n".join(["Home | News | Shop | Login", para.format(i), para.format(i + 50), f"He died in Paris, aged {8 + i}."])) for i in range(5)]
+    notice = "We and our partners use cookies and other small files to remember your choices, count our readers and show what may please you on all our pages."
+    pages += [(100 + i, "b.example", "\n".join([notice, para.format(200 + i), para.format(300 + i)])) for i in range(40)]
+    df = spark.createDataFrame(pages, "page long, host string, text string")
+    assert set(rows(boilerplate.template_lines(df), "page", "no")) == {(i, 0) for i in range(5)} | {(100 + i, 0) for i in range(40)}
+
+
 # 7: sentences
 
 
