@@ -55,6 +55,8 @@ PARTICLES = set("da de do das dos del della der den di du la las le les los van
 #: Words of given names that go to the driver, the most frequent ones.
 MOST_GIVEN = 100_000
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+\.?")
+DASHES, LETTER, NO_NAME = regex.compile(r"[‐-―−]"), regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{N}(\"']")
+CAPITALS, IN_BRACKETS, SERIES = regex.compile(r"\p{Lu}{3,6}"), regex.compile(r"\(\p{Lu}{2,6}\)"), regex.compile(r"(\p{L}{3,})-?(\d{1,2})")
 #: A word is a given name if it is in names of this share of all scopes, and of three at least.
 COMMON = 0.05
 
@@ -64,18 +66,35 @@ def folded(w: str) -> str:
     return w.replace("vv", "w").replace("rn", "m")
 
 
+class Sounds(dict):
+    """Word to (as it sounds, its phonetic code); bounded.
+
+    As it sounds: spellings of one sound made one, doubled letters single, no h. The code: its first letter, its consonants in groups, and the
+    vowel it ends in, which tells Maria from Mario.
+    """
+
+    def __missing__(self, w: str) -> tuple[str, str]:
+        if len(self) > 1 << 18:
+            self.clear()
+        s = w
+        for a, b in SPELLINGS:
+            s = s.replace(a, b)
+        s = regex.sub(r"(.)\1+", r"\1", s.replace("h", "") or s)
+        body = regex.sub(r"[aeiou]", "", s[1:]).translate(SOUNDS)
+        code = s[:1].translate(SOUNDS) + regex.sub(r"(.)\1+", r"\1", body) + (s[-1] if len(s) > 1 and s[-1] in "aeiou" else "")
+        v = self[w] = s, code
+        return v
+
+
+KNOWN = Sounds()
+
+
 def sound(w: str) -> str:
-    """A word as it sounds: spellings of one sound made one, doubled letters single, no h."""
-    for a, b in SPELLINGS:
-        w = w.replace(a, b)
-    return regex.sub(r"(.)\1+", r"\1", w.replace("h", "") or w)
+    return KNOWN[w][0]
 
 
 def phonetic(w: str) -> str:
-    """The phonetic code of a token: its first letter, its consonants in groups, and the vowel it ends in, which tells Maria from Mario."""
-    s = sound(w)
-    body = regex.sub(r"[aeiou]", "", s[1:]).translate(SOUNDS)
-    return s[:1].translate(SOUNDS) + regex.sub(r"(.)\1+", r"\1", body) + (s[-1] if len(s) > 1 and s[-1] in "aeiou" else "")
+    return KNOWN[w][1]
 
 
 def sorted_tokens(ws: list[str]) -> str:
@@ -219,15 +238,15 @@ def org_word(w: str) -> str | None:
 
 def read_name(name: str, givens: Givens) -> tuple[str, list[str], str, list[str]] | None:
     """(kind, qualifiers, core, acronyms); kinds: P full person, I initial and surname, S surname, G given name, O, A acronym, M. None: names nobody."""
-    text = regex.sub(r"[‐-―−]", "-", name.replace(" ", " ")).strip()
-    if not regex.search(r"\p{L}", text) or regex.match(r"[^\p{L}\p{N}(\"']", text):
+    text = DASHES.sub("-", name.replace(" ", " ")).strip()
+    if not LETTER.search(text) or NO_NAME.match(text):
         return None
     bare = text.replace(".", "").strip()
-    if regex.fullmatch(r"\p{Lu}{3,6}", bare) and ("." in text[:-1] or len(bare) < 6):
+    if CAPITALS.fullmatch(bare) and ("." in text[:-1] or len(bare) < 6):
         acronym = ("A", [], folded(bare), [])
     else:
         acronym = None
-    text = regex.sub(r"\(\p{Lu}{2,6}\)", " ", text)
+    text = IN_BRACKETS.sub(" ", text)
     comma = text.count(",") == 1
     head, _, tail = text.partition(",")
     words = WORDS.findall(f"{tail} {head}" if comma else text)
@@ -247,7 +266,7 @@ def read_name(name: str, givens: Givens) -> tuple[str, list[str], str, list[str]
     if not kept or all(w in ROLES for w, _ in kept):
         return None
     # missions: a proper part and a number
-    one = regex.fullmatch(r"(\p{L}{3,})-?(\d{1,2})", kept[0][0]) if len(kept) == 1 else None
+    one = SERIES.fullmatch(kept[0][0]) if len(kept) == 1 else None
     if one:
         return "M", [one[2]], one[1], []
     if len(kept) == 2 and not kept[0][1]:
@@ -289,9 +308,17 @@ def read_names(names: DataFrame, common: set[str]) -> DataFrame:
     kept = names.sparkSession.sparkContext.broadcast(common)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        givens = Givens(kept.value)
+        givens, keys = Givens(kept.value), {}
+
+        def keys_of(core: str) -> list[str]:
+            if (k := keys.get(core)) is None:
+                if len(keys) > 1 << 16:
+                    keys.clear()
+                k = keys[core] = blocks(core)
+            return k
+
         for b in batches:
-            rows = [(s, n, *r, blocks(r[2])) for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (r := read_name(n, givens))]
+            rows = [(s, n, *r, keys_of(r[2])) for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (r := read_name(n, givens))]
             c = list(zip(*rows)) or [[]] * 7
             types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], names=["scope", "name", "kind", "quals", "core", "acronyms", "codes"])
