@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, table
 
-#: Vectors that decide where the trees divide: a sample of about this many, drawn by hash. All vectors are indexed.
+#: Vectors that decide where the trees divide: a sample of about this many, or of 8 for each leaf if that is more, drawn by hash. All vectors are indexed.
 FIT = 16384
-#: Levels fitted on the sample. Larger leaves are divided further by their own members.
-DEPTH = 11
+#: Levels fitted on the sample, so at most 65,536 vectors. Larger leaves are divided further by their own members.
+DEPTH = 13
 SCALE = 32767.0
 UNSURE = 1e-4
 
@@ -99,7 +99,7 @@ def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def forest(vectors: DataFrame, n: int, n_trees: int, leaf: int):
     """(planes, offsets) of trees with about ``leaf`` of n classes a leaf, but of DEPTH levels at most, as a broadcast."""
     depth = int(np.clip(round(np.log2(max(1, n) / leaf)), 0, DEPTH))
-    share = min(1.0, FIT / max(1, n))
+    share = min(1.0, max(FIT, 8 << depth) / max(1, n))
     sample = [bytes(r.q) for r in vectors.filter(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("q").collect()] if depth else []
     dim = len(sample[0]) // 2 if sample else 1
     planes, offsets = grow_trees(np.frombuffer(b"".join(sample), np.int16).reshape(-1, dim).astype(np.float32) / np.float32(SCALE), n_trees, depth)
@@ -157,37 +157,40 @@ def forest_lists(vectors: DataFrame, n: int, n_trees: int, leaf: int, k: int) ->
     return routed(vectors, "cls", forest(vectors, n, n_trees, leaf)).groupBy("leaf").applyInArrow(search, "cls long, nb array<long>, sim array<float>")
 
 
-def best_lists(lists: DataFrame, k: int) -> DataFrame:
-    """(cls, nb, sim): of all lists of a class, a bounded number, the k nearest different classes, nearest first."""
+def best_lists(lists: DataFrame, keep: int, k: int) -> DataFrame:
+    """(cls, nb, sim, fresh): of all lists (cls, nb, sim, new) of a class, a bounded number, the ``keep`` nearest different classes, nearest first. fresh: how many of the first k only a new list has."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             n = np.asarray(b.column(1).value_lengths())
-            own, nb, sim = np.repeat(np.arange(b.num_rows), n), np.asarray(b.column(1).flatten()), np.asarray(b.column(2).flatten())
-            order = np.lexsort((-sim, nb, own))
-            own, nb, sim = own[order], nb[order], sim[order]
-            new = np.ones(len(own), bool)
-            new[1:] = (own[1:] != own[:-1]) | (nb[1:] != nb[:-1])
-            own, nb, sim = own[new], nb[new], sim[new]
+            own, nb, sim, new = np.repeat(np.arange(b.num_rows), n), np.asarray(b.column(1).flatten()), np.asarray(b.column(2).flatten()), np.asarray(b.column(3).flatten())
+            order = np.lexsort((new, -sim, nb, own))
+            own, nb, sim, new = own[order], nb[order], sim[order], new[order]
+            first = np.ones(len(own), bool)
+            first[1:] = (own[1:] != own[:-1]) | (nb[1:] != nb[:-1])
+            own, nb, sim, new = own[first], nb[first], sim[first], new[first]
             order = np.lexsort((nb, -sim, own))
-            own, nb, sim = own[order], nb[order], sim[order]
+            own, nb, sim, new = own[order], nb[order], sim[order], new[order]
             count = np.bincount(own, minlength=b.num_rows)
             place = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-            nb, sim = nb[place < k], sim[place < k]
-            ends = pa.array(np.append(0, np.cumsum(np.minimum(count, k))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(nb)), pa.ListArray.from_arrays(ends, pa.array(sim))], names=["cls", "nb", "sim"])
+            fresh = np.bincount(own[place < k], new[place < k], minlength=b.num_rows)
+            nb, sim = nb[place < keep], sim[place < keep]
+            ends = pa.array(np.append(0, np.cumsum(np.minimum(count, keep))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(nb)), pa.ListArray.from_arrays(ends, pa.array(sim)), pa.array(fresh.astype(np.int32))], names=["cls", "nb", "sim", "fresh"])
 
-    joined = lists.groupBy("cls").agg(F.flatten(F.collect_list("nb")).alias("nb"), F.flatten(F.collect_list("sim")).alias("sim"))
-    return joined.mapInArrow(go, "cls long, nb array<long>, sim array<float>")
+    rows = lists.select("cls", "nb", "sim", F.array_repeat(F.col("new").cast("byte"), F.size("nb")).alias("new"))
+    joined = rows.groupBy("cls").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("nb", "sim", "new")))
+    return joined.mapInArrow(go, "cls long, nb array<long>, sim array<float>, fresh int")
 
 
-def descent_round(graph: DataFrame, vectors: DataFrame, k: int, width: int) -> DataFrame:
+def descent_round(graph: DataFrame, vectors: DataFrame, k: int, width: int, turn: int = 0, place: int = 8192) -> DataFrame:
     """Better neighbours found where classes meet: (cls, nb, sim) rows of one neighbour each list.
 
-    Each class goes to its ``width`` nearest; those that meet at one class, with it, are compared in turns of at most 2048, and
-    what is nearer than the k-th neighbour so far and not yet known is kept.
+    Each class goes to its ``width`` nearest; those that meet at one class, with it, are compared, all with all, and
+    what is nearer than the k-th neighbour so far and not yet known is kept. A class that more than ``place`` others name is a meeting place in parts
+    of that size, other parts in each round; what meets in none of them is found by way of other classes, or not.
     """
     at_k = F.coalesce(F.get("sim", F.lit(k - 1)), F.lit(-2.0).cast("float"))
     known = graph.join(vectors, "cls").select("cls", "q", at_k.alias("least"), "nb")
@@ -205,15 +208,13 @@ def descent_round(graph: DataFrame, vectors: DataFrame, k: int, width: int) -> D
             own = (cls >> 7) & 65535
             found: list[tuple] = []
             for s, e in zip(cuts[:-1], cuts[1:]):
-                for i in range(s, e, 2048):
-                    j = min(e, i + 2048)
-                    if j - i < 2:
-                        continue
-                    sim = x[i:j] @ x[i:j].T
-                    u, v = np.nonzero(sim > least[i:j, None])
-                    u, v = u + i, v + i
-                    ok = (cls[u] != cls[v]) & ~(marks[u] == own[v][:, None]).any(axis=1)
-                    found.append((cls[u[ok]], cls[v[ok]], sim[u[ok] - i, v[ok] - i]))
+                for i in range(s, e if e - s > 1 else s, 1024):
+                    for j in range(s, e, 1024):
+                        sim = x[i : min(e, i + 1024)] @ x[j : min(e, j + 1024)].T
+                        u, v = np.nonzero(sim > least[i : min(e, i + 1024), None])
+                        near, u, v = sim[u, v], u + i, v + j
+                        ok = (cls[u] != cls[v]) & ~(marks[u] == own[v][:, None]).any(axis=1)
+                        found.append((cls[u[ok]], cls[v[ok]], near[ok]))
             u, v, s = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float32)))
             ends = pa.array(np.arange(len(u) + 1, dtype=np.int32))
             return pa.RecordBatch.from_arrays([pa.array(u), pa.ListArray.from_arrays(ends, pa.array(v)), pa.ListArray.from_arrays(ends, pa.array(s.astype(np.float32)))], names=["cls", "nb", "sim"])
@@ -225,7 +226,7 @@ def descent_round(graph: DataFrame, vectors: DataFrame, k: int, width: int) -> D
                 continue
             at = b.column(0).to_numpy()
             cuts = np.append(0, np.flatnonzero(at[1:] != at[:-1]) + 1)
-            if len(cuts) == 1 and b.num_rows < 8192:
+            if len(cuts) == 1 and b.num_rows < place:
                 rest = b
                 continue
             last = cuts[-1] if len(cuts) > 1 else b.num_rows
@@ -234,7 +235,7 @@ def descent_round(graph: DataFrame, vectors: DataFrame, k: int, width: int) -> D
         if rest is not None:
             yield meet(rest, np.array([0, rest.num_rows]))
 
-    rows = sent.select("at", "cls", "q", "least", "known").repartition("at").sortWithinPartitions("at")
+    rows = sent.select("at", "cls", "q", "least", "known").repartition("at").sortWithinPartitions("at", F.xxhash64("cls", F.lit(turn)))
     found = rows.mapInArrow(go, "cls long, nb array<long>, sim array<float>")
     one = F.struct(F.get("sim", F.lit(0)).alias("s"), F.get("nb", F.lit(0)).alias("n"))
     flat = found.select("cls", one.alias("x")).distinct()
@@ -242,13 +243,23 @@ def descent_round(graph: DataFrame, vectors: DataFrame, k: int, width: int) -> D
     return flat.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k + 1).select("cls", F.array("x.n").alias("nb"), F.array("x.s").alias("sim"))
 
 
-def neighbour_graph(vectors: DataFrame, k: int = 5, keep: int = 11, n_trees: int = 4, leaf: int = 2048, width: int = 10, rounds: int = 1) -> DataFrame:
-    """(cls, nb, sim) of all classes: up to ``keep`` nearest, nearest first. vectors: (cls, q), cls unique."""
+def lists_of(df: DataFrame, new: bool) -> DataFrame:
+    return df.select("cls", "nb", "sim", F.lit(new).alias("new"))
+
+
+def neighbour_graph(vectors: DataFrame, k: int = 5, keep: int = 11, n_trees: int = 4, leaf: int = 2048, width: int = 10, change: float = 0.05, rounds: int = 12) -> DataFrame:
+    """(cls, nb, sim) of all classes: up to ``keep`` nearest, nearest first. vectors: (cls, q), cls unique.
+
+    Rounds of NN-descent follow the forest until one changes no more than the share ``change`` of the first k neighbours of all classes, or after ``rounds``.
+    """
     n = vectors.count()
-    graph = materialize(best_lists(forest_lists(vectors, n, n_trees, leaf, keep - 1), keep), "graph")
-    for _ in range(rounds):
-        graph = materialize(best_lists(graph.unionByName(descent_round(graph, vectors, k, width)), keep), "graph")
-    return graph
+    graph = materialize(best_lists(lists_of(forest_lists(vectors, n, n_trees, leaf, keep - 1), False), keep, k), "graph")
+    for turn in range(rounds):
+        better = descent_round(graph, vectors, k, width, turn)
+        graph = materialize(best_lists(lists_of(graph, False).unionByName(lists_of(better, True)), keep, k), "graph")
+        if (graph.agg(F.sum("fresh")).first()[0] or 0) <= change * k * n:
+            break
+    return graph.drop("fresh")
 
 
 def nearest_pairs(df: DataFrame, key: str, vec: str, dim: int, k: int = 5, **how) -> DataFrame:
@@ -322,7 +333,7 @@ def _similar(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select("qid", "cls", "q", "v").mapInArrow(go, f"qid {kind}, cls long, sim double")
 
 
-def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 24, n_trees: int = 4, leaf: int = 2048, hops: int = 8) -> DataFrame:
+def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 24, n_trees: int = 4, leaf: int = 2048, hops: int = 24) -> DataFrame:
     """(qid, cls, sim, rank): greedy search of the graph for each of (qid, q), q as in vectors.
 
     From the nearest classes of its leaf in each tree of a projection forest, as the graph need not be connected, each hop takes the best ``beam`` met so far, follows those not followed yet, and
