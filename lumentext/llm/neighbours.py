@@ -247,7 +247,7 @@ def lists_of(df: DataFrame, new: bool) -> DataFrame:
     return df.select("cls", "nb", "sim", F.lit(new).alias("new"))
 
 
-def neighbour_graph(vectors: DataFrame, k: int = 5, keep: int = 11, n_trees: int = 4, leaf: int = 2048, width: int = 10, change: float = 0.05, rounds: int = 12) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, k: int = 5, keep: int = 11, n_trees: int = 4, leaf: int = 2048, width: int = 10, change: float = 0.02, rounds: int = 12) -> DataFrame:
     """(cls, nb, sim) of all classes: up to ``keep`` nearest, nearest first. vectors: (cls, q), cls unique.
 
     Rounds of NN-descent follow the forest until one changes no more than the share ``change`` of the first k neighbours of all classes, or after ``rounds``.
