@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from . import values as V
 
-PUNCTUATION = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").replace("'", "'")
-
-
 #: White space of any kind, no-break spaces included.
 WS = r"(?U:\s)"
 
@@ -158,7 +155,30 @@ def clean_document(c: Column, headings: dict[str, str] | None = None) -> Column:
     """All passes in their order, which matters."""
     for f in (normalize_basic, remove_common_noise, remove_contents, fix_hyphenation, join_broken_lines):
         c = f(c)
-    return collapse_blank_lines(remove_corrupted_lines(replace_all(c, headings or {})))
+    return collapse_blank_lines(remove_corrupted_lines(replace_all(c, V.JOINED_HEADINGS if headings is None else headings)))
+
+
+def clean_sentence(c: Column, artefacts: dict[str, str] = V.SENTENCE_ARTEFACTS) -> Column:
+    """A sentence without the headings that ran into it."""
+    return strip(replace_all(c, artefacts))
+
+
+def clean_book(c: Column, marker: str = V.BOOK_MARKER) -> Column:
+    """A book from its first chapter on, lower-cased, with single line breaks."""
+    c = sub(c, r"\r\n?", "\n")
+    at = F.instr(c, marker)
+    return sub(F.lower(F.when(at > 0, F.substring(c, at, F.length(c))).otherwise(c)), r"\n+", "\n")
+
+
+def book_sentences(c: Column, letters: str = V.BOOK_LETTERS) -> Column:
+    """Sentences of a clean book, of its language's letters alone."""
+    plain = sub(c, f"[^{letters}.!?]+", " ")
+    return F.filter(F.transform(F.split(plain, "[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def clean_lang_trailing(c: Column, codes: list[str] = V.LANGUAGE_CODES) -> Column:
+    """An item without a language code after it."""
+    return strip(sub(norm_spaces(c), rf"(?i) +(?:{'|'.join(codes)})$"))
 
 
 def cut_back_matter(c: Column, markers: list[str] = V.BACK_MATTER, least: int = 500) -> Column:

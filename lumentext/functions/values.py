@@ -62,3 +62,64 @@ SUBJECT_PATTERNS = [
     r"explain why (.+?) is considered important", r"explain why (.+?) was considered important", r"why is (.+?) important", r"why was (.+?) important", r"why is (.+?) significant",
     r"why was (.+?) significant", r"what makes (.+?) important", r"what makes (.+?) significant", r"explain the importance of (.+?)(?:[?.]|$)",
 ]
+
+# Headings that ran into the text after them, and that text after a blank line.
+JOINED_HEADINGS = {
+    "Why We Go to Space At NASA,": "Why We Go to Space\n\nAt NASA,",
+    "Reaching beyond Earth orbit While": "Reaching beyond Earth orbit\n\nWhile",
+    "On to Mars Supported": "On to Mars\n\nSupported",
+    "About Terrae Novae The mission": "About Terrae Novae\n\nThe mission",
+    "Foreword – by Josef Aschbacher, Director General At the beginning": "Foreword – by Josef Aschbacher, Director General\n\nAt the beginning",
+    "Exploring the Solar System – by the Human spaceflight and Exploration Science Advisory Committee (HESAC) The Human Spaceflight and Exploration Science Advisory Committee (HESAC)": "Exploring the Solar System – by the Human spaceflight and Exploration Science Advisory Committee (HESAC)\n\nThe Human Spaceflight and Exploration Science Advisory Committee (HESAC)",
+    "1 Preamble As recent events have shown,": "1 Preamble\n\nAs recent events have shown,",
+    "2 Introduction In 2014,": "2 Introduction\n\nIn 2014,",
+    "6 Conclusion In essence,": "6 Conclusion\n\nIn essence,",
+}
+
+# Headings before a sentence, and the sentence without them.
+SENTENCE_ARTEFACTS = {
+    "Why We Go to Space At NASA,": "At NASA,",
+    "Reaching beyond Earth orbit While": "While",
+    "On to Mars Supported": "Supported",
+    "Foreword – by Josef Aschbacher, Director General At the beginning": "At the beginning",
+    "2 Introduction In 2014,": "In 2014,",
+    "Exploring the Solar System – by the Human spaceflight and Exploration Science Advisory Committee 1 Preamble As recent events have shown,": "As recent events have shown,",
+}
+
+# Where a book's first chapter begins, the letters of its language, and language codes after an item.
+BOOK_MARKER = "— CAPÍTULO UM —"
+BOOK_LETTERS = "a-záàâãéêíóôõúç"
+LANGUAGE_CODES = ["es", "en", "pt", "la"]
+
+# Colours of the groups of a graph's nodes; "outros" is that of nodes without a group.
+GROUP_COLOURS = {"protagonistas": "#4C9BE8", "aliados": "#2ECC71", "antagonistas": "#E74C3C", "dursleys": "#E67E22", "weasleys": "#9B59B6", "outros": "#95A5A6"}
+NO_GROUP, SIZE_FACTOR, NO_SIZE, WIDTH_FACTOR = "outros", 3, 10, 0.25
+
+# Texts of the two prompts.
+EXPLANATION_PROMPT = """You are answering a music question using only the evidence below.
+
+Write a direct answer in 2 concise sentences.
+Do not mention irrelevant chart positions unless they explain importance.
+Focus on cultural impact, artistic impact, critical reception, legacy, and influence.
+
+Question:
+{question}
+
+Evidence:
+{evidence}
+
+Answer:"""
+CONTEXT_PROMPT = """You are answering questions about music using retrieved documents.
+
+Use only the context below.
+Do not invent information.
+If the answer is a person, album, genre, artist, date, or label, answer directly.
+If the question asks for an explanation, answer in 2 or 3 concise sentences.
+
+Question:
+{question}
+
+Context:
+{context}
+
+Answer:"""

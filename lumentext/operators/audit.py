@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from .stats import with_totals
 
 
 def exact_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -56,3 +57,25 @@ def one_link_per_domain(links: DataFrame, key: str, url: str, kind: str, most: i
     s = s.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
     p = Window.partitionBy(key).orderBy(F.col("link_score").desc(), "url")
     return s.withColumn("place", F.row_number().over(p)).filter(F.col("place") <= most).select(key, "url", "link_score", "place")
+
+
+def first_usable(external: DataFrame, wiki: DataFrame, key: str, least: int = V.MIN_EXTERNAL_CHARS, least_wiki: int = V.MIN_WIKI_CHARS) -> DataFrame:
+    """(key, source_type, source, url, text) of each record: the first external text that is long enough when clean, else the encyclopaedia's, else no row.
+
+    external: (key, place, url, text), tried by place; wiki: (key, url, text), one row a key. Only lengths and places are compared by key, and the text of the chosen row travels with them.
+    """
+    e = external.select(key, "place", "url", T.clean_citations(F.col("text")).alias("text")).filter(F.length("text") >= least)
+    e = e.groupBy(key).agg(F.min_by(F.struct("url", "text"), "place").alias("x"))
+    w = wiki.select(key, F.col("url").alias("_url"), F.col("text").alias("_text")).filter(F.length("_text") >= least_wiki)
+    both = e.join(w, key, "full")
+    out = F.col("x").isNotNull()
+    return both.select(
+        key, F.when(out, "external").otherwise("wikipedia").alias("source_type"), F.when(out, T.domain_of(F.col("x.url"))).otherwise("Wikipedia").alias("source"),
+        F.when(out, F.col("x.url")).otherwise(F.col("_url")).alias("url"), F.when(out, F.col("x.text")).otherwise(F.col("_text")).alias("text"),
+    )
+
+
+def project_status(docs: DataFrame, chunks: DataFrame, vec: str, dim: int) -> DataFrame:
+    """(documents, chunks, vectors, other_length), one row: the sizes, and how many vectors are missing or not of length ``dim``."""
+    c = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count(vec).alias("vectors"), F.count_if(F.coalesce(F.size(vec), F.lit(-1)) != dim).alias("other_length"))
+    return with_totals(docs.agg(F.count(F.lit(1)).alias("documents")), c)

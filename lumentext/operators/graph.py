@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import values as V
 
 
-def mentions(sents: DataFrame, keys: list[str], text: str, gazetteer: DataFrame, most: int = 3) -> DataFrame:
+def mentions(sents: DataFrame, keys: list[str], text: str, gazetteer: DataFrame) -> DataFrame:
     """(keys..., name) of the phrases of (phrase, name) in each sentence, the longest first: a shorter one within a longer is none.
 
     Each word meets the phrases that begin with it, an equi-join; the few that do are compared with the words that follow. Spark broadcasts the
@@ -16,7 +17,7 @@ def mentions(sents: DataFrame, keys: list[str], text: str, gazetteer: DataFrame,
     """
     w = F.filter(F.split(F.col(text), r"[^\p{L}\p{M}\p{N}_'\-]+"), lambda x: x != "")
     p = F.split("phrase", " ")
-    phrases = gazetteer.select(F.get(p, F.lit(0)).alias("word"), p.alias("_p"), F.size(p).alias("n"), "phrase", "name").filter(F.col("n") <= most)
+    phrases = gazetteer.select(F.get(p, F.lit(0)).alias("word"), p.alias("_p"), F.size(p).alias("n"), "phrase", "name")
     words = sents.select(*keys, F.posexplode(w).alias("at", "word"))
     begun = words.join(phrases, "word").select(*keys, (F.col("at") + 1).alias("at"), "n", "phrase", "name")
     rest = begun.filter("n > 1").join(sents.select(*keys, w.alias("_w")), keys).filter(F.array_join(F.slice("_w", F.col("at"), F.col("n")), " ") == F.col("phrase"))
@@ -52,3 +53,15 @@ def subgraph(edges: DataFrame, nodes: DataFrame, by: list[str] | None = None, so
     """Edges both of whose ends are among ``nodes``."""
     by = by or []
     return edges.join(nodes.select(*by, F.col(name).alias(source)), [*by, source], "left_semi").join(nodes.select(*by, F.col(name).alias(target)), [*by, target], "left_semi")
+
+
+def drawn_nodes(names: DataFrame, freq: DataFrame, groups: DataFrame, by: list[str], colours: dict[str, str] = V.GROUP_COLOURS) -> DataFrame:
+    """(by..., name, size, colour): names with their size by (by..., name, freq) and the colour of their group by (name, grp)."""
+    table = F.create_map(*(F.lit(x) for kv in colours.items() for x in kv))
+    n = names.join(freq.select(*by, "name", "freq"), [*by, "name"], "left").join(groups.select("name", "grp"), "name", "left")
+    return n.select(*by, "name", (F.coalesce("freq", F.lit(V.NO_SIZE)) * V.SIZE_FACTOR).alias("size"), F.coalesce(F.try_element_at(table, F.coalesce("grp", F.lit(V.NO_GROUP))), F.lit(colours[V.NO_GROUP])).alias("colour"))
+
+
+def drawn_edges(edges: DataFrame, weight: str = "weight") -> DataFrame:
+    """``edges`` with their width."""
+    return edges.withColumn("width", F.col(weight) * V.WIDTH_FACTOR)

@@ -111,3 +111,28 @@ def group_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 def top_by(df: DataFrame, by: list[str], order: list[Column], k: int, place: str = "place") -> DataFrame:
     """The first k rows of each group, numbered."""
     return df.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(place) <= k)
+
+
+def dense_vectors(weights: DataFrame, key: str, terms: list[str]) -> DataFrame:
+    """(key, vec) of (key, term, w): a place for each of ``terms``, a vocabulary small enough to be a list, sorted by code point."""
+    m = weights.filter(F.col("term").isin(terms)).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m"))
+    vocab = F.array(*map(F.lit, sorted(terms)))
+    rest = weights.select(key).distinct().join(m, key, "left")
+    return rest.select(key, F.transform(vocab, lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0.0))).alias("vec"))
+
+
+def most_common(counts: DataFrame, by: list[str], k: int, n: str = "freq") -> DataFrame:
+    """The ``k`` most frequent rows of each group, with their place; ties by the other columns."""
+    rest = [c for c in counts.columns if c not in (*by, n)]
+    return top_by(counts, by, [F.col(n).desc(), *rest], k)
+
+
+def ngram_keys(counts: DataFrame, ngram: str, n: int) -> DataFrame:
+    """Counts whose n-gram is an array, as loaded from JSON, with one column a word: w1 to wn."""
+    return counts.select(*(F.get(ngram, F.lit(i)).alias(f"w{i + 1}") for i in range(n)), *(c for c in counts.columns if c != ngram))
+
+
+def file_counts(docs: DataFrame, by: str, sentences: Column, tokens) -> DataFrame:
+    """(by, sentences, usable, tokens): sentences of each file, those that ``tokens`` takes (a list, or NULL), and their tokens."""
+    s = docs.select(by, F.explode(sentences).alias("s")).select(by, tokens(F.col("s")).alias("t"))
+    return s.groupBy(by).agg(F.count(F.lit(1)).alias("sentences"), F.count("t").alias("usable"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("tokens"))

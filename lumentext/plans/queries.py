@@ -381,11 +381,6 @@ def pca2(spark, d):
     return embed.projected(table(spark, d, "embeddings"), "vec_id", "embedding").select("vec_id", _R(F.abs(F.get("xy", F.lit(0))), 4).alias("x"), _R(F.abs(F.get("xy", F.lit(1))), 4).alias("y"))
 
 
-def word2vec(spark, d):
-    t = _cells(spark, d).select(T.tokens_a(F.col("sentence")).alias("t"))
-    return embed.word_vectors(t, "t", size=16, rounds=2).select("word", F.size("vector").alias("dim"))
-
-
 def hashed_vectors(spark, d):
     v = embed.hashed_vectors(_docs(spark, d).select("doc_id", T.tokens_b(F.col("text")).alias("t")), "doc_id", "t")
     return v.select("doc_id", F.size("vec").alias("dim"), _R(T.norm(F.col("vec"))).alias("norm"))
@@ -434,17 +429,21 @@ def index_articles(spark, d):
 
 
 def text_lines_json(spark, d):
-    return sinks.as_json(table(spark, d, "sbert_config"), "model_name")
+    """Every counted name as one JSON object; NULL fields are left out."""
+    p = table(spark, d, "personagens_final").filter("livro_id is not null and personagem is not null")
+    return sinks.as_json(p, "livro_id", "personagem")
 
 
 _ALL = [
     tfidf_idf, tfidf_weights, tfidf_rank, bm25_rank, bm25_unique_docs, dense_topk, hybrid_rank, hybrid_filtered, confidence_flag, doc_centroid, chunk_documents, chunk_counts, clean_citations, clean_documents, clean_for_chunks,
     slugs, url_domains, link_scores, sentences, valid_sentences, candidate_sentences, bigrams, trigrams, context_counts, vocab_size, sentence_lm_score, diverse_top3, cooccurrence_nodes, cooccurrence_edges, strong_edges, top15_subgraph,
     node_sizes, audit_flags, exact_duplicates, repair_docs, corpus_distribution, chunks_consistency, eval_retrieval, token_f1, entity_filter, entity_report, entity_counts, iob_spans, span_f1, page_sections, page_dates, map_key_counts, list_counts,
-    presence_counts, metadata_answer, evidence_sentences, explanations, ranked_answers, prompts, span_search, question_terms, word_neighbours, odd_one_out, analogy, pca2, word2vec, hashed_vectors, token_counts, top_words, back_matter,
+    presence_counts, metadata_answer, evidence_sentences, explanations, ranked_answers, prompts, span_search, question_terms, word_neighbours, odd_one_out, analogy, pca2, hashed_vectors, token_counts, top_words, back_matter,
     normalized_answers, latex_texts, aligned_labels, index_articles, text_lines_json,
 ]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL}
+    from . import answering
+
+    return {f.__name__: f for f in [*_ALL, *answering.ALL]}
