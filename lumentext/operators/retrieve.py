@@ -15,23 +15,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
-from ..session import materialize
-from .stats import document_frequency, term_counts, tfidf_weights, with_totals
+from ..session import materialize, small
+from .stats import document_frequency, term_counts, with_totals
 
 
 def tfidf_rank(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey: str, query: str, tokens=T.tokens_c) -> DataFrame:
-    """(qkey, key, score, rank): documents with a positive cosine, best first, then the smaller key.
+    """(qkey, key, score): documents with a positive cosine; ``ranked`` or ``top_k`` puts them in order.
 
-    A query's term frequency counts its unknown words in the length, though they weigh nothing.
+    A query's term frequency counts its unknown words in the length, though they weigh nothing. Term counts are written once; from them come
+    the document frequencies, the norms, each an aggregate with map-side combining, and the dots, for which only the terms of the queries are read.
     """
-    weights = tfidf_weights(docs, key, tokens(F.col(text)))
-    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    terms = weights.select("term", "idf").distinct()
-    q = term_counts(queries, qkey, tokens(F.col(query))).join(terms, "term").select(qkey, "term", (F.col("n") / F.col("len") * F.col("idf")).alias("wq"))
+    counts = materialize(term_counts(docs, key, tokens(F.col(text))), "terms")
+    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    idf = materialize(with_totals(document_frequency(counts), n).select("term", F.log10(F.col("n_docs") / F.col("df")).alias("idf")), "idf")
+    w = F.col("n") / F.col("len") * F.col("idf")
+    q = term_counts(queries, qkey, tokens(F.col(query))).join(idf, "term").select(qkey, "term", "idf", w.alias("wq"))
+    q = materialize(q, "asked")
     qn = q.groupBy(qkey).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("qn"))
-    dots = weights.join(q, "term").groupBy(qkey, key).agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
-    scored = dots.join(norms, key).join(qn, qkey).select(qkey, key, F.when(F.col("dn") * F.col("qn") == 0, F.lit(0.0)).otherwise(F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score"))
-    return ranked(scored.filter("score > 0"), qkey, F.round("score", 9), F.col(key))
+    dots = counts.join(small(q), "term").groupBy(qkey, key).agg(F.sum(w * F.col("wq")).alias("dot"))
+    norms = counts.join(idf, "term").groupBy(key).agg(F.sqrt(F.sum(w * w)).alias("dn"))
+    scored = dots.filter("dot > 0").join(norms, key).join(qn, qkey)
+    return scored.select(qkey, key, F.when(F.col("dn") * F.col("qn") == 0, F.lit(0.0)).otherwise(F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score")).filter("score > 0")
 
 
 def ranked(df: DataFrame, qkey: str, score: Column, tie: Column, rank: str = "rank") -> DataFrame:
@@ -58,9 +62,9 @@ def bm25_terms(docs: DataFrame, key: str, text: str, k1: float = 1.5, b: float =
 
 
 def bm25_scores(index: DataFrame, key: str, queries: DataFrame, qkey: str, query: str, tokens=T.tokens_b) -> DataFrame:
-    """(qkey, key, score) of all documents that share a term; repeated query words count again."""
-    q = term_counts(queries, qkey, tokens(F.col(query))).select(qkey, "term", F.col("n").alias("times"))
-    return index.join(q, "term").groupBy(qkey, key).agg(F.sum(F.col("s") * F.col("times")).alias("score"))
+    """(qkey, key, score) of all documents that share a term; repeated query words count again. Only the postings of the queries' terms are summed."""
+    q = materialize(term_counts(queries, qkey, tokens(F.col(query))).select(qkey, "term", F.col("n").alias("times")), "asked")
+    return index.join(small(q), "term").groupBy(qkey, key).agg(F.sum(F.col("s") * F.col("times")).alias("score"))
 
 
 def dense_scores(vectors: DataFrame, key: str, vec: str, queries: DataFrame, qkey: str, qvec: str, k: int | None = None, block: int = 65536) -> DataFrame:
@@ -108,22 +112,23 @@ def dense_scores(vectors: DataFrame, key: str, vec: str, queries: DataFrame, qke
     return out
 
 
-def minmax(df: DataFrame, qkey: str, score: str) -> Column:
-    """Scores of a query from 0 to 1; all equal scores become 0."""
-    w = Window.partitionBy(qkey)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return F.when(high == low, F.lit(0.0)).otherwise((F.col(score) - low) / (high - low))
+def scaled(score: Column, low: Column, high: Column) -> Column:
+    """A score from 0 to 1 between the lowest and the highest of its query; all equal scores become 0."""
+    return F.when(high == low, F.lit(0.0)).otherwise((score - low) / (high - low))
 
 
 def hybrid_scores(bm25: DataFrame, dense: DataFrame, qkey: str, key: str, alpha: float = 0.6) -> DataFrame:
     """(qkey, key, bm25_score, dense_score, score): (1 - alpha) of the one and alpha of the other, each from 0 to 1 over all documents of the query.
 
-    Documents without a common term have a BM25 score of 0. Filters by type belong after this step: before it they would change the scores.
+    Documents without a common term have a BM25 score of 0. Filters by type belong after this step: before it they would change the scores. The bounds of each
+    query are aggregates with map-side combining, one row a query, so no task holds a query's documents.
     """
     both = dense.select(qkey, key, F.col("score").alias("dense_score")).join(bm25.select(qkey, key, F.col("score").alias("bm25_score")), [qkey, key], "left")
-    both = both.withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
-    s = (1 - alpha) * minmax(both, qkey, "bm25_score") + alpha * minmax(both, qkey, "dense_score")
-    return both.withColumn("score", s)
+    both = materialize(both.withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0))), "both")
+    ends = both.groupBy(qkey).agg(*(f(c).alias(f"_{n}_{c}") for c in ("bm25_score", "dense_score") for n, f in (("low", F.min), ("high", F.max))))
+    x = both.join(small(ends), qkey)
+    part = lambda c: scaled(F.col(c), F.col(f"_low_{c}"), F.col(f"_high_{c}"))
+    return x.select(qkey, key, "bm25_score", "dense_score", ((1 - alpha) * part("bm25_score") + alpha * part("dense_score")).alias("score"))
 
 
 def best_per_doc(hits: DataFrame, qkey: str, doc: str, score: Column, tie: Column) -> DataFrame:
@@ -133,6 +138,7 @@ def best_per_doc(hits: DataFrame, qkey: str, doc: str, score: Column, tie: Colum
 
 
 def top_k(hits: DataFrame, qkey: str, score: Column, tie: Column, k: int) -> DataFrame:
+    """The first ``k`` of each query, ranked. Spark keeps the first k of each query in every task before it shuffles (a window group limit), so no task holds a query's hits."""
     return ranked(hits, qkey, score, tie).filter(F.col("rank") <= k)
 
 

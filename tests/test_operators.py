@@ -63,7 +63,8 @@ def test_dense_and_hybrid(spark):
 
 def test_type_filter_does_not_change_scores(spark):
     s = spark.createDataFrame([(1, i, float(i), "a" if i % 2 else "b") for i in range(6)], "q int, id int, score double, type string")
-    scaled = s.withColumn("m", retrieve.minmax(s, "q", "score"))
+    none = spark.createDataFrame([], "q int, id int, score double")
+    scaled = retrieve.hybrid_scores(none, s, "q", "id", 1.0).withColumnRenamed("score", "m").join(s.select("id", "type"), "id")
     assert rows(scaled.filter("type = 'a'"), "id", "m") == [(1, 0.2), (3, 0.6), (5, 1.0)]
 
 
