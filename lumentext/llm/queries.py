@@ -63,8 +63,33 @@ x AS (SELECT doc_id, min(p)::INT AS start_pos, (max(p) + 120)::INT AS end_pos FR
 """
 
 
+_WS = r"[\s\x{A0}\x{85}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}\x{1C}-\x{1F}]"
+_SIMILAR = """
+SELECT '{0}' AS field, a.id AS id_a, b.id AS id_b FROM {1} a JOIN {1} b USING (g) JOIN {1}_n x ON x.id = a.id JOIN {1}_n y ON y.id = b.id WHERE a.id < b.id
+GROUP BY a.id, b.id, x.n, y.n HAVING count(*) >= {2} * (x.n + y.n - count(*))"""
+_NEAR_DUPLICATES = (
+    rf"""
+WITH w AS (SELECT crawl_id AS id, list_filter(regexp_split_to_array(lower(text), '{_WS}+'), lambda w: w <> '') AS w FROM corpus WHERE text IS NOT NULL),
+tg AS (SELECT DISTINCT id, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)), tg_n AS (SELECT id, count(*) AS n FROM tg GROUP BY 1),
+c AS (SELECT crawl_id AS id, trim(regexp_replace(lower(title), '{_WS}+', ' ', 'g')) AS t FROM corpus_audit WHERE title IS NOT NULL),
+cg AS (SELECT DISTINCT id, t[i:i + 2] AS g FROM (SELECT id, t, unnest(range(1, len(t) - 1)) AS i FROM c)), cg_n AS (SELECT id, count(*) AS n FROM cg GROUP BY 1)
+"""
+    + _SIMILAR.format("corpus.text", "tg", 0.5)
+    + " UNION ALL "
+    + _SIMILAR.format("corpus_audit.title", "cg", 0.6)
+)
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2]))"
+_NEAREST = f"""
+WITH v AS (SELECT chunk_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM chunks WHERE len(embedding) = (SELECT max(embedding_dim) FROM sbert_config) AND len(list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT id, list_transform(e, lambda x: x / sqrt({_DOT.format('e', 'e')})) AS u FROM v),
+c AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round({_DOT.format('a.u', 'b.u')}, 6) DESC, b.id) <= 5)
+SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": _NEAR_DUPLICATES,
+        "p6_found": _NEAREST,
         "p5_ranks": _RANKS + "SELECT question_id, chunk_id, rho, mean_rank FROM z",
         "p5_found": _RANKS + "SELECT question_id, chunk_id FROM z QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY rho, mean_rank, chunk_id) <= 3",
         "p9_leaks": _LEAKS,
