@@ -12,14 +12,10 @@ def token_offsets(c: Column) -> Column:
     """Words of a text, split at white space, with their first character and the one after their last: the tokenizer where none is given."""
     tokens = F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
     blanks = F.regexp_extract_all(c, F.lit(r"(?:^\s*|\s+)(?=\S)"), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["b"])
-        item = F.struct(x["t"].alias("token"), at.alias("start"), (at + F.length(x["t"])).alias("end"))
-        return F.struct((at + F.length(x["t"])).alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    return F.aggregate(F.arrays_zip(tokens.alias("t"), blanks.alias("b")), start, step, lambda acc: acc["out"])
+    lengths = F.zip_with(tokens, blanks, lambda t, x: F.length(t) + F.length(x))
+    ends = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+    token = lambda t, end: F.struct(t.alias("token"), (end - F.length(t)).alias("start"), end.alias("end"))
+    return F.zip_with(tokens, F.slice(ends, 2, F.size(ends)), token)
 
 
 def qa_features(df: DataFrame, key: str, question: str, context: str, answer_start: str, answer: str, tokens=token_offsets, max_length: int = 384, stride: int = 128) -> DataFrame:

@@ -42,8 +42,8 @@ def ranked(df: DataFrame, qkey: str, score: Column, tie: Column, rank: str = "ra
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(qkey).orderBy(score.desc(), tie)))
 
 
-def bm25_terms(docs: DataFrame, key: str, text: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, tokens=T.tokens_b) -> DataFrame:
-    """(term, key, s): what each term adds to each document's score: an index that can be kept.
+def bm25_terms(docs: DataFrame, key: str, text: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, tokens=T.tokens_b, only: DataFrame | None = None) -> DataFrame:
+    """(term, key, s): what each term adds to each document's score: an index that can be kept; of the terms of ``only`` (term), if given.
 
     idf = ln(N - df + 0.5) - ln(df + 0.5); negative ones become epsilon times the mean idf of all terms.
     """
@@ -55,6 +55,8 @@ def bm25_terms(docs: DataFrame, key: str, text: str, k1: float = 1.5, b: float =
     df = with_totals(document_frequency(counts), totals).withColumn("idf", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = df.agg(F.avg("idf").alias("mean_idf"))
     terms = with_totals(df, mean).withColumn("idf", F.when(F.col("idf") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("idf"))).select("term", "idf", "n_docs")
+    if only is not None:
+        terms = small(materialize(terms.join(small(only), "term", "left_semi"), "asked"))
     parts = with_totals(counts.join(terms, "term"), length)
     avg = F.col("all_len") / F.col("n_docs")
     s = F.col("idf") * F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("len") / avg))
@@ -63,8 +65,21 @@ def bm25_terms(docs: DataFrame, key: str, text: str, k1: float = 1.5, b: float =
 
 def bm25_scores(index: DataFrame, key: str, queries: DataFrame, qkey: str, query: str, tokens=T.tokens_b) -> DataFrame:
     """(qkey, key, score) of all documents that share a term; repeated query words count again. Only the postings of the queries' terms are summed."""
-    q = materialize(term_counts(queries, qkey, tokens(F.col(query))).select(qkey, "term", F.col("n").alias("times")), "asked")
-    return index.join(small(q), "term").groupBy(qkey, key).agg(F.sum(F.col("s") * F.col("times")).alias("score"))
+    return _summed(index, key, materialize(_asked(queries, qkey, query, tokens), "asked"), qkey)
+
+
+def bm25_search(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey: str, query: str, tokens=T.tokens_b) -> DataFrame:
+    """The same without a kept index: statistics of all terms, but postings only of the queries' terms."""
+    q = materialize(_asked(queries, qkey, query, tokens), "asked")
+    return _summed(bm25_terms(docs, key, text, tokens=tokens, only=q.select("term").distinct()), key, q, qkey)
+
+
+def _asked(queries: DataFrame, qkey: str, query: str, tokens) -> DataFrame:
+    return term_counts(queries, qkey, tokens(F.col(query))).select(qkey, "term", F.col("n").alias("times"))
+
+
+def _summed(index: DataFrame, key: str, asked: DataFrame, qkey: str) -> DataFrame:
+    return index.join(small(asked), "term").groupBy(qkey, key).agg(F.sum(F.col("s") * F.col("times")).alias("score"))
 
 
 def dense_scores(vectors: DataFrame, key: str, vec: str, queries: DataFrame, qkey: str, qvec: str, k: int | None = None, block: int = 65536) -> DataFrame:

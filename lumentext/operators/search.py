@@ -26,8 +26,7 @@ class Searcher:
         """(query_id, chunk_id, score, bm25_score, dense_score) of all chunks that the method scores."""
         sparse = dense = None
         if self.method != "dense":
-            index = retrieve.bm25_terms(self.chunks, "chunk_id", "text")
-            sparse = retrieve.bm25_scores(index, "chunk_id", queries, "query_id", "query")
+            sparse = retrieve.bm25_search(self.chunks, "chunk_id", "text", queries, "query_id", "query")
         if self.method != "bm25":
             dense = retrieve.dense_scores(self.chunks, "chunk_id", "embedding", queries, "query_id", "qv")
         if self.method == "bm25":

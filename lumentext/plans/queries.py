@@ -51,8 +51,7 @@ def _questions(spark, d) -> DataFrame:
 
 
 def _bm25(spark, d) -> DataFrame:
-    index = retrieve.bm25_terms(spread(table(spark, d, "chunks").select("chunk_id", "text")), "chunk_id", "text")
-    return retrieve.bm25_scores(index, "chunk_id", _questions(spark, d), "question_id", "question")
+    return retrieve.bm25_search(spread(table(spark, d, "chunks").select("chunk_id", "text")), "chunk_id", "text", _questions(spark, d), "question_id", "question")
 
 
 def bm25_rank(spark, d):
