@@ -326,9 +326,9 @@ def normalize_answer(c: Column) -> Column:
 
 def postprocess_answer(c: Column) -> Column:
     c = strip(c)
-    for x in (" Type", " Source", " Document"):
+    for x in V.ANSWER_ARTEFACTS:
         c = F.replace(c, F.lit(x), F.lit(""))
-    return F.btrim(c, F.lit(" .,:;!?\"'()[]{}"))
+    return F.btrim(c, F.lit(V.ANSWER_MARKS))
 
 
 def clean_generated(c: Column) -> Column:
@@ -367,18 +367,18 @@ def date_pt(d: Column) -> Column:
 
 def is_explanation(q: Column) -> Column:
     q = F.lower(q)
-    return starts_with_any(q, ["why", "how", "explain"]) | any_of(q, ["important", "significant", "influence", "impact"])
+    return starts_with_any(q, V.EXPLANATION_STARTS) | any_of(q, V.EXPLANATION_WORDS)
 
 
 def is_bad_explanation(answer: Column, question: Column) -> Column:
     a, q = strip(F.lower(answer)), strip(F.lower(question))
-    return (a == "") | (n_words(a) < 8) | a.endswith("2016") | a.endswith("2015") | q.contains(a) | any_of(a, V.BAD_FRAGMENTS)
+    return (a == "") | (n_words(a) < 8) | any_of(a, V.BAD_ENDINGS, "endswith") | q.contains(a) | any_of(a, V.BAD_FRAGMENTS)
 
 
 def subject_of(question: Column) -> Column:
     """The subject of a question of importance, by the first pattern that fits."""
     found = [F.nullif(F.regexp_extract(question, "(?i)" + p, 1), F.lit("")) for p in V.SUBJECT_PATTERNS]
-    return F.coalesce(*(F.rtrim(strip(x), F.lit("?.")) for x in found), F.lit("The subject of this question"))
+    return F.coalesce(*(F.rtrim(strip(x), F.lit("?.")) for x in found), F.lit(V.NO_SUBJECT))
 
 
 def explanation(question: Column, evidence: Column) -> Column:
@@ -392,9 +392,9 @@ def explanation(question: Column, evidence: Column) -> Column:
     n = F.size(p)
     listed = F.when(n == 1, F.get(p, F.lit(0))).otherwise(F.concat(F.array_join(F.slice(p, F.lit(1), F.greatest(n - 1, F.lit(1))), ", "), F.lit(" and "), F.get(p, n - 1)))
     top = strip(F.get(evidence, F.lit(0)))
-    none = F.when(F.length(top) > 20, F.concat(F.lit("Based on the retrieved documents: "), top)).otherwise("The retrieved documents do not provide a clear explanation for this question.")
-    some = F.concat(subject_of(question), F.lit(" is considered important due to "), listed, F.lit(", as supported by the retrieved documents."))
-    return F.when(F.size(evidence) <= 0, F.lit("The retrieved documents do not contain enough information to answer this question.")).when(n == 0, none).otherwise(some)
+    none = F.when(F.length(top) > 20, F.concat(F.lit(V.BASED_ON), top)).otherwise(V.NO_EXPLANATION)
+    some = F.concat(subject_of(question), F.lit(V.DUE_TO), listed, F.lit(V.SUPPORTED))
+    return F.when(F.size(evidence) <= 0, F.lit(V.NO_EVIDENCE)).when(n == 0, none).otherwise(some)
 
 
 def align_labels(labels: Column, word_ids: Column, ignore: int = -100) -> Column:

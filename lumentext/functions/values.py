@@ -1,7 +1,7 @@
 """Word lists, patterns and limits that results depend on. All are defaults of parameters."""
 
 # Stop words of the TF-IDF tokenizer.
-STOPWORDS = "a an and are as at be by for from has he in is it its of on that the to was were will with".split()
+STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "were", "will", "with"]
 
 # Lines of page headers, footers and captions.
 NOISE_LINES = ["ESA UNCLASSIFIED – Releasable to the Public", "Table of Contents", "Contact", "© European Space Agency", "explorationstrategy@esa.int"]
@@ -12,14 +12,22 @@ INVALID_PREFIXES = ["terrae novae 2030+ strategy roadmap", "josef aschbacher dir
 INVALID_FRAGMENTS = ["director general european space agency"]
 SHORT_PREFIXES = ["why we go to space", "reaching beyond earth orbit", "on to mars", "about terrae novae", "foreword", "josef aschbacher", "exploring the solar system", "preamble", "introduction", "conclusion"]
 CANDIDATE_PREFIXES = ["introduction", "conclusion", "foreword", "about terrae novae", "figure", "table", "archived from", "retrieved "]
-PRONOUNS = "It This These They He She We".split()
-MONTHS_EN = "january february march april may june july august september october november december".split()
-MONTHS_PT = "janeiro fevereiro março abril maio junho julho agosto setembro outubro novembro dezembro".split()
+PRONOUNS = ["It", "This", "These", "They", "He", "She", "We"]
+MONTHS_EN = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+MONTHS_PT = ["janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro"]
 
 # Entity labels kept, entities left out, and corrections.
 ENTITY_LABELS = ["ORG", "LOC", "GPE", "DATE", "PERSON", "PRODUCT"]
 ENTITY_STOP = ["Agency", "Solar", "Lunar", "Strategy Roadmap", "Member States", "Participating States", "Hermes", "Columbus", "ESA Agenda 2025", "Neptune", "Sun", "Buran", "Argonaut", "ExoMars", "decades"]
-ENTITY_TEXT = {f"the {x}": x for x in ["Solar System", "Red Planet", "International Space Station", "Artemis Accords", "ESA Council", "European Space Summit", "Mars Sample Return"]}
+ENTITY_TEXT = {
+    "the Solar System": "Solar System",
+    "the Red Planet": "Red Planet",
+    "the International Space Station": "International Space Station",
+    "the Artemis Accords": "Artemis Accords",
+    "the ESA Council": "ESA Council",
+    "the European Space Summit": "European Space Summit",
+    "the Mars Sample Return": "Mars Sample Return",
+}
 ENTITY_AS_LOC = ["Moon", "Mars", "Earth", "LEO", "Solar System", "Red Planet"]
 ENTITY_AS_GPE = ["Europe", "Russia", "US", "China", "France", "Toulouse"]
 
@@ -27,13 +35,13 @@ ENTITY_AS_GPE = ["Europe", "Russia", "US", "China", "France", "Toulouse"]
 BACK_MATTER = ["References", "External links", "See also", "Further reading", "Bibliography"]
 
 # Preferred and refused domains of external links, and additions by type.
-GOOD_DOMAINS = "britannica.com grammy.com rockhall.com rollingstone.com billboard.com pitchfork.com allmusic.com nme.com theguardian.com officialcharts.com mtv.com coachella.com glastonburyfestivals.co.uk lollapalooza.com primaverasound.com rollingloud.com eurovision.tv".split()
-BAD_URLS = "facebook.com twitter.com x.com instagram.com youtube.com spotify.com apple.com amazon. discogs.com musicbrainz.org wikidata.org commons.wikimedia.org web.archive.org .pdf .jpg .jpeg .png .gif .mp3 .mp4".split()
-EVENT_DOMAINS = "grammy.com rockhall.com coachella.com glastonburyfestivals.co.uk lollapalooza.com primaverasound.com rollingloud.com eurovision.tv".split()
+GOOD_DOMAINS = ["britannica.com", "grammy.com", "rockhall.com", "rollingstone.com", "billboard.com", "pitchfork.com", "allmusic.com", "nme.com", "theguardian.com", "officialcharts.com", "mtv.com", "coachella.com", "glastonburyfestivals.co.uk", "lollapalooza.com", "primaverasound.com", "rollingloud.com", "eurovision.tv"]
+BAD_URLS = ["facebook.com", "twitter.com", "x.com", "instagram.com", "youtube.com", "spotify.com", "apple.com", "amazon.", "discogs.com", "musicbrainz.org", "wikidata.org", "commons.wikimedia.org", "web.archive.org", ".pdf", ".jpg", ".jpeg", ".png", ".gif", ".mp3", ".mp4"]
+EVENT_DOMAINS = ["grammy.com", "rockhall.com", "coachella.com", "glastonburyfestivals.co.uk", "lollapalooza.com", "primaverasound.com", "rollingloud.com", "eurovision.tv"]
 TYPE_DOMAINS = {
-    "artist": (8, "grammy.com rockhall.com britannica.com allmusic.com".split()),
-    "album": (8, "pitchfork.com rollingstone.com allmusic.com billboard.com nme.com".split()),
-    "genre": (8, "britannica.com allmusic.com".split()),
+    "artist": (8, ["grammy.com", "rockhall.com", "britannica.com", "allmusic.com"]),
+    "album": (8, ["pitchfork.com", "rollingstone.com", "allmusic.com", "billboard.com", "nme.com"]),
+    "genre": (8, ["britannica.com", "allmusic.com"]),
     "award": (10, EVENT_DOMAINS), "festival": (10, EVENT_DOMAINS), "event": (10, EVENT_DOMAINS), "movement": (10, EVENT_DOMAINS),
 }
 
@@ -42,7 +50,7 @@ MIN_EXTERNAL_CHARS, MIN_WIKI_CHARS, SHORT_TEXT_CHARS = 1800, 800, 2500
 CHUNK_WORDS, CHUNK_OVERLAP, CHUNK_MIN = 170, 35, 40
 
 # Terms that make a sentence evidence, or noise, for explanations.
-IMPORTANCE_TERMS = "important importance significant legacy impact critical critics ranked awards award grammy racial empowerment conscious experimental artistic generation revered respected acclaim".split()
+IMPORTANCE_TERMS = ["important", "importance", "significant", "legacy", "impact", "critical", "critics", "ranked", "awards", "award", "grammy", "racial", "empowerment", "conscious", "experimental", "artistic", "generation", "revered", "respected", "acclaim"]
 NOISY_TERMS = ["first week", "spotify", "billboard 200", "sales", "sold", "united kingdom", "australia", "united states", "david bowie"]
 BAD_FRAGMENTS = ["united kingdom", "australia", "united states", "was an influence on david bowie", "is considered important"]
 LOW_SCORE, LOW_MARGIN = 0.35, 0.04
@@ -123,3 +131,24 @@ Context:
 {context}
 
 Answer:"""
+
+# What a reader's answer may have taken from the metadata, and marks at its ends.
+ANSWER_ARTEFACTS = [" Type", " Source", " Document"]
+ANSWER_MARKS = " .,:;!?\"'()[]{}"
+
+# How a question for an explanation begins, or what it holds; endings of answers that explain nothing.
+EXPLANATION_STARTS = ["why", "how", "explain"]
+EXPLANATION_WORDS = ["important", "significant", "influence", "impact"]
+BAD_ENDINGS = ["2016", "2015"]
+
+# What questions hold that a document's metadata answers.
+ASKS_ARTIST = ["who released"]
+ASKS_ALBUM = ["which album", "what album"]
+ASKS_GENRE = ["what genre"]
+
+# Sentences of explanations.
+NO_EVIDENCE = "The retrieved documents do not contain enough information to answer this question."
+NO_EXPLANATION = "The retrieved documents do not provide a clear explanation for this question."
+BASED_ON = "Based on the retrieved documents: "
+NO_SUBJECT = "The subject of this question"
+DUE_TO, SUPPORTED = " is considered important due to ", ", as supported by the retrieved documents."

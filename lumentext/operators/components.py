@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 40) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
         # small star: smaller neighbours of each node, and it, go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, "star")
+        last, now = now, materialize(small, "star")
+        discard(last)
         after = mark(now)
         if after == before:
             break

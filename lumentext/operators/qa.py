@@ -13,9 +13,9 @@ def metadata_answer(question: Column, kind: Column, title: Column, artist: Colum
     """The answer that a document's type, title and artist give; NULL if no rule applies."""
     q = F.lower(question)
     return (
-        F.when(q.contains("who released") & (kind == "album") & artist.isNotNull() & (artist != ""), artist)
-        .when((q.contains("which album") | q.contains("what album")) & (kind == "album"), title)
-        .when(q.contains("what genre") & (kind == "genre"), title)
+        F.when(T.any_of(q, V.ASKS_ARTIST) & (kind == "album") & artist.isNotNull() & (artist != ""), artist)
+        .when(T.any_of(q, V.ASKS_ALBUM) & (kind == "album"), title)
+        .when(T.any_of(q, V.ASKS_GENRE) & (kind == "genre"), title)
     )
 
 
@@ -76,12 +76,3 @@ def ranked_answers(cands: DataFrame, qkey: str, answer: str, qa: str, retrieval:
     same = F.btrim(F.lower("answer"), F.lit(" .,:;!?\"'()[]{}"))
     c = c.withColumn("_n", F.row_number().over(Window.partitionBy(qkey, same).orderBy(*order))).filter("_n = 1")
     return c.withColumn("place", F.row_number().over(Window.partitionBy(qkey).orderBy(*order))).filter(F.col("place") <= top).select(qkey, "place", "answer", "final_score")
-
-
-def prompts(hits: DataFrame, qkey: str, question: str, rank: str = "rank") -> DataFrame:
-    """(qkey, prompt): the numbered context blocks of each question's hits (title, type, source, text, artist), for a generator."""
-    who = F.when(F.col("artist").isNotNull() & (F.col("artist") != ""), F.concat(F.lit("\nArtist: "), "artist")).otherwise("")
-    block = F.concat(F.lit("[Document "), F.col(rank).cast("string"), F.lit("]\nTitle: "), "title", F.lit("\nType: "), "type", who, F.lit("\nSource: "), "source", F.lit("\nText: "), "text")
-    g = hits.groupBy(qkey, question).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), block.alias("b")))).alias("bs"))
-    context = F.array_join(F.transform("bs", lambda x: x["b"]), "\n\n")
-    return g.select(qkey, F.concat(F.lit("Answer the question from the documents only.\n\nQuestion:\n"), F.col(question), F.lit("\n\nContext:\n"), context, F.lit("\n\nAnswer:")).alias("prompt"))

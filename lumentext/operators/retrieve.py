@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
+from ..functions import values as V
 from ..session import materialize, small
 from .stats import document_frequency, term_counts, with_totals
 
@@ -157,7 +158,7 @@ def top_k(hits: DataFrame, qkey: str, score: Column, tie: Column, k: int) -> Dat
     return ranked(hits, qkey, score, tie).filter(F.col("rank") <= k)
 
 
-def confidence(hits: DataFrame, qkey: str, score: str = "score", low: float = 0.35, margin: float = 0.04) -> DataFrame:
+def confidence(hits: DataFrame, qkey: str, score: str = "score", low: float = V.LOW_SCORE, margin: float = V.LOW_MARGIN) -> DataFrame:
     """(qkey, flag): low or ambiguous or ok, by the first hit's score and its distance from the second, 1 where there is none."""
     w = Window.partitionBy(qkey).orderBy("rank")
     top = hits.withColumn("next", F.lead(score).over(w)).filter("rank = 1")

@@ -288,8 +288,6 @@ j AS (SELECT a.vec_id, a.i AS s, b.i AS e, round(a.p * b.p, 12) AS score FROM a
 SELECT vec_id, s::INT AS span_start, e::INT AS span_end, round(score, 5) AS score FROM j QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, s, e) = 1""",
         "index_articles": f"""WITH i AS (SELECT letra, url, min(nome) AS nome, min(descricao_pequena) AS dp FROM scrapper GROUP BY 1, 2), a AS (SELECT url, max(descricao) AS d, max(nome) AS n FROM scrapper GROUP BY 1)
 SELECT letra, url, coalesce(nullif({_strip('n')}, ''), nome) AS nome, len(coalesce(nullif({_strip('d')}, ''), dp))::INT AS chars FROM i LEFT JOIN a USING (url)""",
-        "prompts": f"""WITH {_HITS}, b AS (SELECT question_id, question, rank, '[Document ' || rank || ']' || chr(10) || 'Title: ' || title || chr(10) || 'Type: ' || type || CASE WHEN artist <> '' THEN chr(10) || 'Artist: ' || artist ELSE '' END || chr(10) || 'Source: ' || source || chr(10) || 'Text: ' || text AS b FROM h)
-SELECT question_id, 'Answer the question from the documents only.' || chr(10) || chr(10) || 'Question:' || chr(10) || question || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg(b, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Answer:' AS prompt FROM b GROUP BY question_id, question""",
     }
     for name, t, cols in (("chunk_counts", "chunks", ["type", "section", "source_type", "source"]), ("corpus_distribution", "corpus", ["type", "section", "source_type"])):
         out[name] = " UNION ALL ".join(f"SELECT '{c}' AS what, {c} AS value, count(*) AS n FROM {t} GROUP BY {c}" for c in cols)

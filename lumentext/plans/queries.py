@@ -340,10 +340,6 @@ def ranked_answers(spark, d):
     return qa.ranked_answers(h.withColumn("answer", F.coalesce("artist", "title")), "question_id", "answer", "qa", "score", "chunk_id").select("question_id", "place", "answer", _R("final_score").alias("final_score"))
 
 
-def prompts(spark, d):
-    return qa.prompts(_hits(spark, d), "question_id", "question")
-
-
 def span_search(spark, d):
     """Vectors as logits: starts as they are, ends reversed."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("s"), F.reverse("embedding").alias("e"))
@@ -437,7 +433,7 @@ _ALL = [
     tfidf_idf, tfidf_weights, tfidf_rank, bm25_rank, bm25_unique_docs, dense_topk, hybrid_rank, hybrid_filtered, confidence_flag, doc_centroid, chunk_documents, chunk_counts, clean_citations, clean_documents, clean_for_chunks,
     slugs, url_domains, link_scores, sentences, valid_sentences, candidate_sentences, bigrams, trigrams, context_counts, vocab_size, sentence_lm_score, diverse_top3, cooccurrence_nodes, cooccurrence_edges, strong_edges, top15_subgraph,
     node_sizes, audit_flags, exact_duplicates, repair_docs, corpus_distribution, chunks_consistency, eval_retrieval, token_f1, entity_filter, entity_report, entity_counts, iob_spans, span_f1, page_sections, page_dates, map_key_counts, list_counts,
-    presence_counts, metadata_answer, evidence_sentences, explanations, ranked_answers, prompts, span_search, question_terms, word_neighbours, odd_one_out, analogy, pca2, hashed_vectors, token_counts, top_words, back_matter,
+    presence_counts, metadata_answer, evidence_sentences, explanations, ranked_answers, span_search, question_terms, word_neighbours, odd_one_out, analogy, pca2, hashed_vectors, token_counts, top_words, back_matter,
     normalized_answers, latex_texts, aligned_labels, index_articles, text_lines_json,
 ]
 
