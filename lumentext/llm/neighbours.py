@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, table
+from ..session import discard, materialize, table
 
 #: Vectors that decide where the trees divide: a sample of about this many, or of 8 for each leaf if that is more, drawn by hash. All vectors are indexed.
 FIT = 16384
@@ -256,7 +256,8 @@ def neighbour_graph(vectors: DataFrame, k: int = 5, keep: int = 11, n_trees: int
     graph = materialize(best_lists(lists_of(forest_lists(vectors, n, n_trees, leaf, keep - 1), False), keep, k), "graph")
     for turn in range(rounds):
         better = descent_round(graph, vectors, k, width, turn)
-        graph = materialize(best_lists(lists_of(graph, False).unionByName(lists_of(better, True)), keep, k), "graph")
+        last, graph = graph, materialize(best_lists(lists_of(graph, False).unionByName(lists_of(better, True)), keep, k), "graph")
+        discard(last)
         if (graph.agg(F.sum("fresh")).first()[0] or 0) <= change * k * n:
             break
     return graph.drop("fresh")
@@ -362,7 +363,8 @@ def graph_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
     for _ in range(hops):
         met = state.filter("not done").join(edges, "cls").select("qid", F.col("nb").alias("cls")).distinct().join(state, ["qid", "cls"], "left_anti")
         new = _similar(met.join(vectors.select("cls", F.col("q").alias("v")), "cls").join(queries, "qid"), kind).withColumn("done", F.lit(False))
-        state = materialize(best(state.withColumn("done", F.lit(True)).unionByName(new)), "state")
+        last, state = state, materialize(best(state.withColumn("done", F.lit(True)).unionByName(new)), "state")
+        discard(last)
         if not state.filter("not done").head(1):
             break
     return state.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "cls", "sim", "rank")
