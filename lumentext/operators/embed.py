@@ -54,9 +54,9 @@ def word_vectors(sents: DataFrame, tokens: str, size: int = 120, window: int = 5
     return m.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
-def hashed_vectors(docs: DataFrame, key: str, tokens: str, dim: int = 64) -> DataFrame:
-    """(key, vec): the default encoder where no model is given: signed hashed term counts of unit length."""
-    h = F.xxhash64("t")
+def hashed_vectors(docs: DataFrame, key: str, tokens: str, dim: int = 64, hashed=F.xxhash64) -> DataFrame:
+    """(key, vec): the default encoder where no model is given: signed hashed term counts of unit length. hashed: a term to a 64-bit integer."""
+    h = hashed(F.col("t"))
     cells = docs.select(key, F.explode(tokens).alias("t")).select(key, F.pmod(h, F.lit(dim)).cast("int").alias("at"), F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("x"))
     g = cells.groupBy(key, "at").agg(F.sum("x").alias("x")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
     v = g.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vec"))

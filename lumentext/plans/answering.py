@@ -451,6 +451,9 @@ SELECT crawl_id, {_latex('a')} || {_q('. ' + chr(92) + 'textit{')} || {_latex('t
 k AS (SELECT rec_id, 100 + 20 * no AS top, array_to_string(w[:len(w) // 2], ' ') AS a, array_to_string(w[len(w) // 2 + 1:], ' ') AS b FROM w WHERE len(w) > 0 AND 100 + 20 * no <= 840)
 SELECT rec_id AS doc_id, (row_number() OVER (PARTITION BY rec_id ORDER BY top) - 1)::INT AS line_no, top::INT AS top, CASE WHEN a = '' THEN b WHEN regexp_matches(b, '^[\\]).,;:]') OR regexp_matches(a, '[(\\[/]$') THEN a || b ELSE a || ' ' || b END AS text FROM k""",
         "clean_documents": _cleaned(),
+        "hashed_vectors": """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents), h AS (SELECT doc_id, ('0x' || md5(t)[1:12])::BIGINT AS h FROM t),
+c AS (SELECT doc_id, (h % 64)::INT AS pos, sum(CASE WHEN (h >> 32) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM c GROUP BY 1)
+SELECT doc_id, pos, round(x / n, 5) AS x FROM c JOIN n USING (doc_id) WHERE x <> 0""",
         "diverse_top3": _diverse(core),
         "entity_report": f"""WITH k AS ({core['entity_filter']}), i AS (SELECT source_id, label, place, CASE WHEN count IS NULL THEN to_json({{'text': text}}) ELSE to_json({{'text': text, 'count': count}}) END::VARCHAR AS j FROM k),
 g AS (SELECT source_id, label, '"' || label || '":[' || string_agg(j, ',' ORDER BY place) || ']' AS s FROM i GROUP BY 1, 2) SELECT source_id, '{{' || string_agg(s, ',' ORDER BY label) || '}}' AS report FROM g GROUP BY 1""",

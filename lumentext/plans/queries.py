@@ -377,8 +377,10 @@ def pca2(spark, d):
 
 
 def hashed_vectors(spark, d):
-    v = embed.hashed_vectors(_docs(spark, d).select("doc_id", T.tokens_b(F.col("text")).alias("t")), "doc_id", "t")
-    return v.select("doc_id", F.size("vec").alias("dim"), _R(T.norm(F.col("vec"))).alias("norm"))
+    """Terms hashed by the first digits of their MD5, which SQL has, too."""
+    by = lambda t: F.conv(F.substring(F.md5(t), 1, 12), 16, 10).cast("long")
+    v = embed.hashed_vectors(_docs(spark, d).select("doc_id", T.tokens_b(F.col("text")).alias("t")), "doc_id", "t", hashed=by)
+    return v.select("doc_id", F.posexplode("vec").alias("pos", "x")).filter("x <> 0").select("doc_id", "pos", _R("x", 5).alias("x"))
 
 
 def token_counts(spark, d):

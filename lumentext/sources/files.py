@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -82,13 +85,51 @@ def layout_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def seeds_yaml(spark: SparkSession, text: str) -> DataFrame:
-    """Seeds of a small YAML file: sections of lists of flat mappings; a configuration, parsed on the driver."""
+    """Seeds of a small YAML file: sections of lists of flat mappings, or of mappings by title; a configuration, parsed on the driver."""
     import yaml
 
-    rows = [{**{k: None for k in SEEDS.names}, **seed, "section": section} for section, seeds in (yaml.safe_load(text) or {}).items() for seed in seeds or ()]
+    listed = lambda seeds: [{"name": k, "wiki_title": k, **(v or {})} for k, v in seeds.items()] if isinstance(seeds, dict) else seeds or ()
+    rows = [{**{k: None for k in SEEDS.names}, **seed, "section": section} for section, seeds in (yaml.safe_load(text) or {}).items() for seed in listed(seeds)]
     return spark.createDataFrame([tuple(r.get(k) for k in SEEDS.names) for r in rows], SEEDS)
 
 
 def checked_sources(df: DataFrame) -> DataFrame:
     """Source descriptors with an error: an unknown kind, or no url or path where the kind wants one."""
     return df.withColumn("error", F.when(~F.coalesce(F.col("tipo").isin("web", "pdf"), F.lit(False)), "unknown kind").when((F.col("tipo") == "web") & F.col("url").isNull(), "no url").when((F.col("tipo") == "pdf") & F.col("path").isNull(), "no path"))
+
+
+def paged(keys: DataFrame, key: str, make: Callable[[], Callable[[str, str | None], tuple[list[str], str | None]]], most: int = 100) -> DataFrame:
+    """(key, item, error): what a service lists page by page for each key, in its order. make gives, on the worker, a function of (key, token) to (items, next token), None on the last page.
+
+    A NULL key lists nothing. A key whose pages fail keeps what came before and has a row with the error; more than ``most`` pages are an error, too.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fetch = None
+        for b in batches:
+            rows = []
+            for k in b.column(0).to_pylist():
+                fetch, token, pages = fetch or make(), None, 0
+                try:
+                    while True:
+                        items, token = fetch(k, token)
+                        rows += [(k, x, None) for x in items]
+                        pages += 1
+                        if token is None:
+                            break
+                        if pages == most:
+                            raise RuntimeError(f"more than {most} pages")
+                except Exception as e:  # noqa: BLE001
+                    rows.append((k, None, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=[key, "item", "error"])
+
+    return keys.select(F.col(key).cast("string").alias(key)).filter(F.col(key).isNotNull()).mapInArrow(go, f"{key} string, item string, error string")
+
+
+def question_sets(spark: SparkSession, path: str) -> DataFrame:
+    """(id, title, context, question, answer_starts, answers) of question-answer files in the nested JSON of data, paragraphs and qas."""
+    answer = "array<struct<text:string,answer_start:int>>"
+    schema = f"data array<struct<title:string,paragraphs:array<struct<context:string,qas:array<struct<id:string,question:string,answers:{answer}>>>>>>"
+    d = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("data").alias("d"))
+    p = d.select("d.title", F.explode("d.paragraphs").alias("p")).select("title", "p.context", F.explode("p.qas").alias("q"))
+    return p.select("q.id", "title", "context", "q.question", F.col("q.answers.answer_start").alias("answer_starts"), F.col("q.answers.text").alias("answers"))

@@ -198,3 +198,21 @@ def test_command_line(spark, data, capsys):
     main(["check", "--data", data])
     out = capsys.readouterr().out
     assert "source_id" in out and "chunk_id" in out and "other_length" in out
+
+
+def test_paged_seeds_and_question_sets(spark, tmp_path):
+    from lumentext.sources import files
+
+    def make():
+        pages = {("a", None): (["x", "y"], "2"), ("a", "2"): (["z"], None), ("b", None): ([], None), ("e", None): (["v"], "1"), ("l", None): (["i"], None)}
+        return lambda k, t: pages[k, t]
+
+    k = spark.createDataFrame([("a", 1), ("b", 1), (None, 1), ("e", 1), ("l", 1)], "k string, item int")
+    assert rows(files.paged(k, "k", make), "k", "item") == [("a", "x"), ("a", "y"), ("a", "z"), ("e", "v"), ("e", None), ("l", "i")]
+    assert rows(files.paged(k, "k", make).filter("error is not null"), "k") == [("e",)]
+    assert files.paged(k.limit(0), "k", make).count() == 0
+    s = files.seeds_yaml(spark, "albums:\n  - {name: A, wiki_title: A (album), type: album, artist: R}\nartists:\n  B: {type: artist}\n  C:\n")
+    assert rows(s, "name", "wiki_title", "type", "section") == [("A", "A (album)", "album", "albums"), ("B", "B", "artist", "artists"), ("C", "C", None, "artists")]
+    p = tmp_path / "q.json"
+    p.write_text(json.dumps({"data": [{"title": "T", "paragraphs": [{"context": "c d", "qas": [{"id": "1", "question": "q", "answers": [{"text": "d", "answer_start": 2}]}, {"id": "2", "question": "r", "answers": []}]}]}]}))
+    assert rows(files.question_sets(spark, str(p)), "id", "title", "context", "question", "answer_starts", "answers") == [("1", "T", "c d", "q", [2], ["d"]), ("2", "T", "c d", "r", [], [])]
