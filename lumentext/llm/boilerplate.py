@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, spread, table
+from ..session import materialize, skew_join, small, spread, table
 
 PARTS = regex.compile(r"\s*(?:[>»|·/•→]+|\s{2,})\s*")
 SENTENCE_END = regex.compile(r"(?<!(?<!\d)\d{1,2}\.)(?<=[.!?…][\"”»“]?)\s+(?=\S)")
@@ -135,6 +135,12 @@ def recurring_long(lines: DataFrame, least_pages: int, least_share: float) -> Da
     return own.groupBy("host", "head").agg(F.sum((F.col("all") - F.col("w")) / (F.col("k") - 1)).alias("articles"), F.max("size").alias("size")).filter(often("articles")).select("host", "head")
 
 
+def with_marks(rows: DataFrame, keyed: DataFrame, key: str, counts: DataFrame, how: str = "inner", most: int = 1_000_000) -> DataFrame:
+    """``rows`` joined with ``keyed``, one row a key and written: broadcast if it has at most ``most`` rows, else shuffled with the hot keys of ``counts`` (key, n) dealt to several tasks."""
+    held = small(keyed, most)
+    return rows.join(held, key, how) if held is not keyed else skew_join(rows, keyed, key, counts, how=how)
+
+
 def template_lines(pages: DataFrame, least_pages: int = 3, least_share: float = 0.02, pooled_share: float = 0.002, edge: float = 0.5, least_varied: int = 8) -> DataFrame:
     """(page, no): the non-blank lines of each page that belong to the template of its site.
 
@@ -149,9 +155,10 @@ def template_lines(pages: DataFrame, least_pages: int = 3, least_share: float =
     lines = materialize(line_elements(pages), "lines")
     short, within = F.col("kind") == SHORT_LINE, F.col("kind") == WITHIN
     heads = lines.filter(F.col("kind") != LONG_LINE).groupBy("head").agg(F.sum(F.when(within, F.col("no")).otherwise(0)).alias("inside"), F.sum(short.cast("int")).alias("alone"))
+    heads = materialize(heads, "heads")
     prose = heads.filter("inside > alone").select("head", F.lit(True).alias("prose"))
     notices = recurring_long(lines, 2 * least_pages, 2 * least_share).withColumn("notice", F.lit(True))
-    flat = lines.filter(~within).join(prose, "head", "left").join(notices, ["host", "head"], "left")
+    flat = with_marks(lines.filter(~within), prose, "head", heads.select("head", F.col("alone").alias("n")), "left").join(notices, ["host", "head"], "left")
     flat = flat.withColumn("article", ((F.col("kind") == LONG_LINE) & F.col("notice").isNull()) | F.coalesce("prose", F.lit(False)))
     zone = flat.filter("article").groupBy("page").agg(F.min("no").alias("first"), F.max("no").alias("last"))
     todo = flat.filter("not article").join(zone, "page", "left")
@@ -174,9 +181,11 @@ def template_lines(pages: DataFrame, least_pages: int = 3, least_share: float =
     recurs = F.col("pages") - F.col("hosts")
     named = F.pmod("elem", F.lit(2)) == 1
     there = by_host.join(pooled.filter((recurs > 0) & (recurs >= pooled_share * F.col("size")) & ~named).select("elem"), "elem", "left_semi")
-    flagged = here.select("host", "elem").unionByName(there.select("host", "elem")).distinct().withColumn("flag", F.lit(1))
+    mark = F.xxhash64("host", "elem").alias("mark")
+    flagged = materialize(here.select(mark).unionByName(there.select(mark)).distinct(), "flagged")
     marks = todo.select("page", "host", "no", F.size("parts").alias("n"), F.explode(F.concat(F.transform(own, lambda x: F.struct(x.alias("elem"), F.lit(True).alias("one"))), F.transform("parts", lambda x: F.struct(x.alias("elem"), F.lit(False).alias("one"))))).alias("x"))
-    marks = marks.select("page", "host", "no", "n", "x.elem", "x.one").join(flagged, ["host", "elem"])
+    marks = marks.select("page", "host", "no", "n", "x.elem", "x.one").select("page", "no", "n", "one", mark)
+    marks = with_marks(marks, flagged, "mark", by_host.select(mark, F.col("pages").alias("n")))
     found = marks.groupBy("page", "no").agg(F.max("one").alias("one"), F.max("n").alias("n"), F.sum((~F.col("one")).cast("int")).alias("k"))
     return found.filter("one or (n > 1 and 2 * k >= n)").select("page", "no")
 

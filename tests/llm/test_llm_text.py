@@ -105,6 +105,11 @@ def test_measures():
 # 2: boilerplate
 
 
+def test_template_lines_where_marks_are_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(boilerplate.with_marks, "__defaults__", ("inner", -1))
+    test_template_lines(spark)
+
+
 def test_template_lines(spark):
     para = "In the long year of {0} the quiet band of Pelimur{0} wrote many songs about the river and the slow garden by the sea, they said."
     pages, want = [], set()
