@@ -36,15 +36,17 @@ THAI_BLANK = regex.compile(r"(?<=\p{Thai}[\p{Thai}\p{M}\p{N}]*)(?=\s+[\p{Thai}\p
 QUOTE = regex.compile(r"""["][^"]+["]|“[^”“]+”|„[^“”„]+[“”]|«[^»«]+»|»[^«»]+«|「[^」]+」|『[^』]+』""")
 MARKS = ".…!?؟।॥。！？｡"
 CLOSING = "\"'”“»«’)]」』）"
+#: What a word ends with that a boundary may follow, and the last characters of such words.
+STOPPED, EDGE = re.compile(rf"(?:{MARKED.pattern})\Z"), frozenset(MARKS + CLOSING + "›")
 NO_BLANKS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 #: Blanks in scripts without them; events of texts that have no marks.
 BLANK = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}])(?=\s+[\p{Han}\p{Hiragana}\p{Katakana}\p{N}])")
 TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[^\s\p{Han}\p{Hiragana}\p{Katakana}]+")
 VOWEL = regex.compile(r"(?i)[aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûü]")
-#: Common abbreviations that a sentence rarely ends with; each counts as PRIOR occurrences within sentences.
+#: Common abbreviations that a sentence rarely ends with; each counts as PRIOR occurrences within sentences, and not for a class of words that hardly abbreviate.
 ABBREVIATIONS = "al approx cap capt cf cmdr col dr dra e.g est ex feat fig fr gen gov hr i.e jr lt m mme mr mrs ms no nr p pp prof rev s sgt sr sra st v vol vs z डॉ د ดร".split()
-PRIOR, BACK_OFF, ALONE = 20, 4.0, 0.02
-#: Words whose counts are kept, the most frequent ones; others are left to their class.
+KNOWN, PRIOR, BACK_OFF, ALONE = frozenset(ABBREVIATIONS), 20, 4.0, 0.02
+#: Words whose counts are kept, the most frequent ones inside sentences and as many others; all others are left to their class.
 VOCABULARY = 200_000
 #: Units of measure that have no vowel.
 UNITS = set("mm cm dm km mg kg ml cl dl hl h s t g l km/h m/s kWh".split())
@@ -160,9 +162,23 @@ def events(text: str, s: int, e: int) -> list[tuple[int, int]]:
     return [x for x in found if x[1] < e]
 
 
+def _exception(word: str, kind: str) -> bool:
+    """Whether a fixed abbreviation tells nothing of its class, whose other words hardly abbreviate."""
+    return word in KNOWN and kind in ("name", "word")
+
+
+def _inside(x: str, w: str) -> bool:
+    """Whether no boundary can stand between the words x and w."""
+    return x[-1] not in "\"”»“" and not STOPPED.search(x) and not THAI_BLANK.search(f"{x} {w}")
+
+
 def count_events(texts: list[str | None], by_line: bool, n: Counter) -> None:
-    """Add to ``n``: how often each word and class stands before an event or ends a unit, and follows a boundary or a word."""
+    """Add to ``n``: how often each word and class stands before an event or ends a unit, and follows a boundary or a word.
+
+    Boundaries are the starts of units that end with a mark; of these units all words are counted that no boundary can stand before.
+    """
     words: Counter = Counter()
+    mid: Counter = Counter()
     for t in texts:
         if not t:
             continue
@@ -171,7 +187,8 @@ def count_events(texts: list[str | None], by_line: bool, n: Counter) -> None:
             for a, b in events(t, s, e):
                 word, kind, _ = _left(t, s, a, b)
                 n["in", word] += 1
-                n["in", kind, ""] += 1
+                if not _exception(word, kind):
+                    n["in", kind, ""] += 1
             stop = e
             while stop > s and t[stop - 1] in CLOSING:
                 stop -= 1
@@ -182,18 +199,19 @@ def count_events(texts: list[str | None], by_line: bool, n: Counter) -> None:
                 word, kind, at = _left(t, s, a, e)
                 if at > s:
                     n["end", word] += 1
-                    n["end", kind, ""] += 1
+                    if not _exception(word, kind):
+                        n["end", kind, ""] += 1
                     word, kind = _right(t, s, e)
                     n["start", word] += 1
                     n["start", kind, ""] += 1
-                    ws = t[s:e].split(None, 6)
-                    for x, w, y in zip(ws, ws[1:5], [*ws[2:], ""]):
-                        if x[-1] not in ".!?…\"”»“":
-                            word, kind = _right(w, 0, len(w)) if w not in "-–—" else _right(f"{w} {y}", 0, len(w) + 2)
-                            n["mid", word] += 1
-                            n["mid", kind, ""] += 1
+                    ws, thai = t[s:e].split(), THAI.search(t, s, e)
+                    mid.update([w if w not in "-–—" else f"{w} {y[:1]}" for x, w, y in zip(ws, ws[1:], [*ws[2:], ""]) if not (thai or x[-1] in EDGE) or _inside(x, w)])
             elif not by_line and stop > s and "\u0e00" <= t[stop - 1] <= "\u0e7f":
                 n["end", "blank", ""] += 1
+    for w, k in mid.items():
+        word, kind = _right(w, 0, len(w))
+        n["mid", word] += k
+        n["mid", kind, ""] += k
     for w, k in words.items():
         if len(w) < 5 and w.isalpha():
             n["plain", w.lower()] += k
@@ -411,7 +429,7 @@ BLOCK = 1 << 16
 def train(parts: list[tuple[DataFrame, bool]], least: int = 5) -> Model:
     """The model of all texts of ``parts``, (text) and whether lines are units.
 
-    Words met fewer than ``least`` times, and those after the VOCABULARY most frequent, are left to their class, so the model's size does not grow with the texts.
+    Words met fewer than ``least`` times, and those after the VOCABULARY most frequent inside sentences and as many at their ends and starts, are left to their class, so the model's size does not grow with the texts.
     """
     total = None
     for df, by_line in parts:
@@ -432,8 +450,10 @@ def train(parts: list[tuple[DataFrame, bool]], least: int = 5) -> Model:
         total = one if total is None else total.unionByName(one)
     total = materialize(total, "counts")
     rows = total.filter("what is not null").groupBy("what", "word", "kind").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | F.col("kind"))
-    of_word = rows.groupBy("word", "kind").agg(F.sum("n").alias("all"), F.collect_list(F.struct("what", "n")).alias("x"))
-    kept = of_word.filter("kind or word <> ''").orderBy(F.col("kind").desc(), F.col("all").desc(), "word").limit(VOCABULARY)
+    of_word = rows.filter("kind or word <> ''").groupBy("word", "kind", (F.col("what") == "mid").alias("mid")).agg(F.sum("n").alias("all"), F.collect_list(F.struct("what", "n")).alias("x"))
+    # words inside sentences apart, as they are many more and would displace the others
+    kept = [of_word.filter(x).orderBy(F.col("kind").desc(), F.col("all").desc(), "word").limit(VOCABULARY) for x in ("mid", "not mid")]
+    kept = kept[0].unionByName(kept[1])
     n = {(x.what, r.word, "") if r.kind else (x.what, r.word): x.n for r in kept.toLocalIterator() for x in r.x}
     counts = np.zeros(Grams.ORDERS * Grams.ROWS * Grams.CELLS, np.int64)
     for r in merged(total.filter("block is not null").select("block", "counts"), np.add, np.int64).toLocalIterator():  # one row a block

@@ -228,6 +228,38 @@ def test_unmarked_texts_are_split_by_the_n_gram_model():
     assert split("he") == ["he"]
 
 
+def test_all_words_of_a_unit_are_counted():
+    from collections import Counter
+
+    def count(texts, by_line=True):
+        n = Counter()
+        sentences.count_events(texts, by_line, n)
+        return n
+
+    n = count(["The old men of the south came down with the whole crew to Ostra in May. It rained – as always – in Ostra, they said."])
+    assert (n["mid", "Ostra"], n["mid", "May"], n["mid", "It"], n["mid", "dash lower", ""], n["mid", "lower", ""]) == (2, 1, 0, 2, 19)
+    assert n["mid", "lower", ""] + n["mid", "upper", ""] + n["mid", "dash lower", ""] == 24  # all words but the first and the one after the mark
+    # no word that a boundary may stand before
+    assert count(["वह गया। वह आया। वह गया।"])["mid", "letter", ""] == 3
+    assert count(["a b (c d.) Eva f «g.» Ida h “i j” Uma k."])["mid", "upper", ""] == 0
+    assert count(["เขาไปแล้ว เธออยู่ ไปแล้ว!"], False)["mid", "letter", ""] == 0
+
+    # a name that never begins a sentence, but stands far from the beginnings
+    texts = ["The old men of the south came down by night with the whole Kant. Ostra in the winter of that year."] * 20 + ["They came to the Kant.", "He saw the sea."] * 40
+    model = sentences.Model(dict(count(texts)))
+    assert model.right("Ostra", "upper") > 0  # never seen but after a mark
+    model = sentences.Model(dict(count(texts + ["The old men of the south came down by night to Ostra in the winter."] * 20)))
+    assert model.right("Ostra", "upper") == -1
+
+
+def test_words_inside_sentences_displace_no_others(spark, monkeypatch):
+    monkeypatch.setattr(sentences, "VOCABULARY", 30)
+    texts = [f"The men and women went with all of the others to Nader{chr(97 + i)} in the winter." for i in range(26) for _ in range(9)] + ["The men and Abk. Reis went."] * 6
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    n = sentences.train([(df, True)]).n
+    assert n["in", "abk"] == 6 and n["mid", "Naderc"] == 9
+
+
 def test_units_and_positions(spark, model):
     text = " Menu | Home \n\nHe came. He left. \n1. Song\n"
     df = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "", 0), (4, "a\nb.", 0)], "id long, text string, start_pos int")
