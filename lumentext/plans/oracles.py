@@ -168,7 +168,7 @@ qw AS (SELECT query_id, term, count(*) / any_value(n) * any_value(idf) AS wq FRO
 qn AS (SELECT query_id, sqrt(sum(wq * wq)) AS qn FROM qw GROUP BY 1), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS dn FROM w GROUP BY 1)
 SELECT query_id, doc_id, round(sum(w * wq) / (any_value(qn) * any_value(dn)), 6) AS score FROM w JOIN qw USING (term) JOIN qn USING (query_id) JOIN dn USING (doc_id) GROUP BY 1, 2 HAVING any_value(qn) * any_value(dn) > 0 AND sum(w * wq) > 0""",
         "bm25_rank": _BM25 + "SELECT question_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 6) DESC, chunk_id DESC)::INT AS rank FROM b) WHERE rank <= 10",
-        "bm25_unique_docs": _BM25
+        "bm25_unique_docs": _BM25.replace(_Q, _Q.replace(" WHERE question_id % 20 = 0", ""))
         + """, u AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY question_id, doc_id ORDER BY round(score, 6) DESC, chunk_id DESC) = 1)
 SELECT question_id, rank, doc_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 6) DESC, chunk_id DESC)::INT AS rank FROM u) WHERE rank <= 10""",
         "dense_topk": f"""WITH u AS {_UNIT}, s AS (SELECT a.vec_id AS query_id, b.vec_id, {_DOT.format('a.v', 'b.v')} AS score FROM u a, u b WHERE a.vec_id % 20 = 0)

@@ -51,3 +51,10 @@ def test_bm25_best_per_doc(spark, small_blocks, chunks, asked, block):
     assert ranked(few) == ranked(every)
     # what leaves the tasks is bounded by queries and tasks, not by pairs, though 200 documents are alike
     assert few.count() <= len(QUESTIONS) * chunks.rdd.getNumPartitions() * 80 and few.filter("question_id = 6").count() < every.filter("question_id = 6").count() / 3
+
+
+def test_every_question_is_answered(spark, data):
+    from lumentext.plans.queries import queries
+
+    ids = {r[0] for r in spark.read.parquet(f"{data}/answer_question.parquet").filter("question is not null").select("question_id").distinct().collect()}
+    assert {r[0] for r in queries()["bm25_unique_docs"](spark, data).select("question_id").distinct().collect()} == ids
