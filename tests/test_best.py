@@ -58,3 +58,11 @@ def test_every_question_is_answered(spark, data):
 
     ids = {r[0] for r in spark.read.parquet(f"{data}/answer_question.parquet").filter("question is not null").select("question_id").distinct().collect()}
     assert {r[0] for r in queries()["bm25_unique_docs"](spark, data).select("question_id").distinct().collect()} == ids
+
+
+def test_bm25_best(spark, small_blocks, chunks, asked):
+    ranked = lambda h: rows(retrieve.top_k(h, "question_id", F.round("score", 6), F.col("chunk_id").desc(), 10).select("question_id", "rank", "chunk_id", F.round("score", 6)))
+    every = retrieve.bm25_search(chunks, "chunk_id", "text", asked, "question_id", "question")
+    few = best.bm25_best(chunks, "chunk_id", "text", asked, "question_id", "question", 10)
+    assert ranked(few) == ranked(every)
+    assert few.count() < every.count() / 2
