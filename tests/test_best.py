@@ -66,3 +66,20 @@ def test_bm25_best(spark, small_blocks, chunks, asked):
     few = best.bm25_best(chunks, "chunk_id", "text", asked, "question_id", "question", 10)
     assert ranked(few) == ranked(every)
     assert few.count() < every.count() / 2
+
+
+@pytest.mark.parametrize("block", [65536, 3])
+def test_hybrid_best(spark, small_blocks, chunks, asked, block):
+    r = random.Random(3)
+    vecs = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(3 if i == 3 else 4)]) for i in (1, 2, 3, 4, 6, 7, 9)] + [(8, None)], "question_id int, qv array<float>")
+    score, tie = F.round("score", 6), F.col("chunk_id").desc()
+    sparse = retrieve.bm25_search(chunks, "chunk_id", "text", asked, "question_id", "question")
+    every = retrieve.hybrid_scores(sparse, retrieve.dense_scores(chunks, "chunk_id", "embedding", vecs, "question_id", "qv"), "question_id", "chunk_id")
+    few = lambda k, **more: best.hybrid_best(chunks, "chunk_id", "text", "embedding", asked, "question_id", "question", vecs, "qv", k, block=block, **more)
+    ranked = lambda h: rows(retrieve.top_k(h, "question_id", score, tie, 10).select("question_id", "rank", "chunk_id", score))
+    assert ranked(few(10)) == ranked(every)
+    albums = every.join(chunks.select("chunk_id", "doc_id", "type"), "chunk_id").filter("type = 'album'")
+    by_doc = lambda h: rows(retrieve.best_per_doc(h, "question_id", "doc_id", score, tie).filter("rank <= 5").select("question_id", "rank", "chunk_id", score))
+    f = few(5, per="doc_id", where=F.col("type") == "album")
+    assert by_doc(f) == by_doc(albums)
+    assert f.count() < albums.count() / 2
